@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from loomstat.llm.chat import OP1_SQL, op1_chat_formatting
+from loomstat.llm.language import op10_language
+from loomstat.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op8_toxicity": op8_toxicity,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL = {
