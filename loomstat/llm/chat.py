@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from loomstat.llm.common import checkpoint, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Self-joins between two looks at whether anything is left to do.
-ROUNDS_PER_LOOK = 3
 #: Doubling rounds after which what is left must be a cycle.
 MOST_ROUNDS = 63
 
@@ -59,16 +57,15 @@ def runs(nodes: DataFrame) -> DataFrame:
         F.when(F.col("siblings") == 1, 1).otherwise(0).cast("long").alias("place"),
         (F.coalesce(F.col("kids"), F.lit(0)) == 0).alias("leaf"),
     )
-    for done in range(0, MOST_ROUNDS, ROUNDS_PER_LOOK):
-        state = checkpoint(state)
+    for _ in range(MOST_ROUNDS):
+        state = checkpoint(state)  # each round once: a self-join of what is not written would be computed twice
         if state.where("link is not null").isEmpty():
             break
-        for _ in range(ROUNDS_PER_LOOK):
-            far = state.select("tree", F.col("node").alias("link"), F.col("link").alias("next"), F.col("head").alias("far_head"), F.col("place").alias("far_place"))
-            state = state.join(far, ["tree", "link"], "left").select(
-                "tree", "node", "parent", F.col("next").alias("link"),
-                F.coalesce("far_head", "head").alias("head"), (F.col("place") + F.coalesce("far_place", F.lit(0))).alias("place"), "leaf",
-            )
+        far = state.select("tree", F.col("node").alias("link"), F.col("link").alias("next"), F.col("head").alias("far_head"), F.col("place").alias("far_place"))
+        state = state.join(far, ["tree", "link"], "left").select(
+            "tree", "node", "parent", F.col("next").alias("link"),
+            F.coalesce("far_head", "head").alias("head"), (F.col("place") + F.coalesce("far_place", F.lit(0))).alias("place"), "leaf",
+        )
     return state.where("link is null").drop("link")
 
 
