@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from loomstat.llm.chat import OP1_SQL, op1_chat_formatting
 from loomstat.llm.language import op10_language
+from loomstat.llm.pii import op7_personal_data
 from loomstat.llm.toxicity import op8_toxicity
+from loomstat.llm.vectors import op9_nearest_vectors
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
+    "op9_nearest_vectors": op9_nearest_vectors,
     "op10_language": op10_language,
 }
 
