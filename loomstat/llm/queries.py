@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomstat.llm.chat import OP1_SQL, op1_chat_formatting
+from loomstat.llm.decontaminate import op2_decontamination
 from loomstat.llm.language import op10_language
 from loomstat.llm.pii import op7_personal_data
 from loomstat.llm.toxicity import op8_toxicity
@@ -10,6 +11,7 @@ from loomstat.llm.vectors import op9_nearest_vectors
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_decontamination": op2_decontamination,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_nearest_vectors": op9_nearest_vectors,
