@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomstat.llm.chat import OP1_SQL, op1_chat_formatting
 from loomstat.llm.decontaminate import op2_decontamination
 from loomstat.llm.language import op10_language
+from loomstat.llm.neardup import OP3_SQL, op3_near_duplicates
 from loomstat.llm.pii import op7_personal_data
 from loomstat.llm.toxicity import op8_toxicity
 from loomstat.llm.vectors import op9_nearest_vectors
@@ -12,6 +13,7 @@ from loomstat.llm.vectors import op9_nearest_vectors
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
+    "op3_near_duplicates": op3_near_duplicates,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_nearest_vectors": op9_nearest_vectors,
@@ -20,4 +22,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_formatting": OP1_SQL,
+    "op3_near_duplicates": OP3_SQL,
 }
