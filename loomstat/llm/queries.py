@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomstat.llm.bpe import op5_byte_bpe
 from loomstat.llm.chat import OP1_SQL, op1_chat_formatting
 from loomstat.llm.decontaminate import op2_decontamination
 from loomstat.llm.language import op10_language
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_nearest_vectors": op9_nearest_vectors,
