@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from loomstat.llm.common import table, text_slices, utf8
 from loomstat.llm.pieces import Pieces, gather
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], name: str = "token_ids") ->
             column = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, "array<int>"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, ArrayType(IntegerType())))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -168,7 +168,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", n
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([whole[x:y] for x, y in zip(at, at[1:])], pa.binary())], names=[*part.schema.names, name])
 
-    return tokens.mapInArrow(run, StructType([*tokens.schema.fields]).add(name, "binary"))
+    return tokens.mapInArrow(run, StructType([*tokens.schema.fields]).add(name, BinaryType()))
 
 
 def _sizes(column: pa.Array) -> np.ndarray:
