@@ -127,6 +127,22 @@ def overlaps(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     return out
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that no item contaminates, as they are; rows do not move."""
+    for portion in portions(items):
+        shared = docs.sparkSession.sparkContext.broadcast(portion)
+
+        def run(batches, shared=shared):
+            for part in text_slices(batches):
+                clean = np.ones(part.num_rows, bool)
+                for r, _, c, _, _ in shared.value.matches(*utf8(part.column("text"))):
+                    clean[r] &= c < threshold
+                yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contaminated documents, each with the items that they hold."""
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

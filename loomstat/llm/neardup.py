@@ -15,7 +15,8 @@ gives about n rows. Connected components are found by large-star and small-star
 rounds.
 
 Documents without words (null, empty or white text) have an empty set and are linked
-with nothing. Repeated doc_ids with equal sets collapse to one component as any copies
+with nothing. A null doc_id is never a component's id; its row is kept unless its set
+is that of a document with an id. Repeated doc_ids with equal sets collapse to one component as any copies
 do; every input row gives a row. Extra columns are ignored.
 """
 
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         raise ValueError("bands and sketches are laid out for a similarity of 80 percent or more")
     signed = checkpoint(signatures(docs, words))
     own = ["f1", "f2", "n_shingles"]
-    full = signed.where("n_shingles > 0")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = checkpoint(full.groupBy(*own).agg(F.min("doc_id").alias("rep")))
     chosen = checkpoint(full.join(classes.select("rep", *[F.col(c).alias("of_" + c) for c in own]), (F.col("doc_id") == F.col("rep")) & (F.col("f1") == F.col("of_f1")) & (F.col("f2") == F.col("of_f2")))
                         .dropDuplicates(["rep", "f1", "f2"]).select("rep", "n_shingles", "bands", "sketch"))
@@ -229,7 +230,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = components(links).withColumnRenamed("v", "rep")
     labelled = classes.join(found, "rep", "left").select(*own, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *own).join(labelled, own, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.col("component").isNull()).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each group of near duplicates: that of the smallest doc_id.
+
+    Of rows with the same doc_id one stays. Rows without a doc_id stay."""
+    named = docs.where("doc_id is not null")
+    kept = near_duplicates(named, words, percent).where("kept").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
