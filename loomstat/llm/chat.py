@@ -57,16 +57,18 @@ def runs(nodes: DataFrame) -> DataFrame:
         F.when(F.col("siblings") == 1, 1).otherwise(0).cast("long").alias("place"),
         (F.coalesce(F.col("kids"), F.lit(0)) == 0).alias("leaf"),
     )
-    for _ in range(MOST_ROUNDS):
-        state = checkpoint(state)  # each round once: a self-join of what is not written would be computed twice
-        if state.where("link is not null").isEmpty():
+    state = checkpoint(state)
+    done, open_ = state.where("link is null"), state.where("link is not null")
+    for _ in range(MOST_ROUNDS):  # only nodes whose head is not yet found move on
+        if open_.isEmpty():
             break
-        far = state.select("tree", F.col("node").alias("link"), F.col("link").alias("next"), F.col("head").alias("far_head"), F.col("place").alias("far_place"))
-        state = state.join(far, ["tree", "link"], "left").select(
+        far = done.unionByName(open_).select("tree", F.col("node").alias("link"), F.col("link").alias("next"), F.col("head").alias("far_head"), F.col("place").alias("far_place"))
+        state = checkpoint(open_.join(far, ["tree", "link"], "left").select(
             "tree", "node", "parent", F.col("next").alias("link"),
             F.coalesce("far_head", "head").alias("head"), (F.col("place") + F.coalesce("far_place", F.lit(0))).alias("place"), "leaf",
-        )
-    return state.where("link is null").drop("link")
+        ))
+        done, open_ = done.unionByName(state.where("link is null")), state.where("link is not null")
+    return done.drop("link")
 
 
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:

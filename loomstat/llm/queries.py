@@ -6,6 +6,7 @@ from loomstat.llm.bpe import op5_byte_bpe
 from loomstat.llm.chat import OP1_SQL, op1_chat_formatting
 from loomstat.llm.decontaminate import op2_decontamination
 from loomstat.llm.language import op10_language
+from loomstat.llm.licences import op4_licence_scan
 from loomstat.llm.neardup import OP3_SQL, op3_near_duplicates
 from loomstat.llm.pii import op7_personal_data
 from loomstat.llm.toxicity import op8_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_licence_scan": op4_licence_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
