@@ -39,7 +39,7 @@ LEAST_EXAMPLES = 3
 
 # Words without weight, words that weigh only beside another, names by which licences go, and sentences out of their texts.
 STOP = ("a", "all", "an", "and", "any", "are", "as", "at", "be", "can", "for", "from", "has", "have", "in", "is", "it", "its", "not", "of", "on", "or", "our", "that", "the", "their", "these", "they", "this", "to", "under", "was", "we", "were", "which", "will", "with", "you", "your")
-IN_PAIRS = ("0", "1", "2", "3", "4", "bsd", "by", "commons", "conditions", "following", "free", "general", "isc", "lesser", "mit", "nc", "public", "sa", "source", "version", "without", "work")
+IN_PAIRS = ("nc", "sa", "bsd", "isc", "lesser", "commons", "0", "1", "2", "3", "4", "following", "conditions", "source", "without", "version", "public", "general", "free", "work", "mit", "by")
 NAMES = {
     "Apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license", "Apache License"),
     "MIT": ("MIT License", "MIT licence", "MIT", "The MIT License (MIT)", "Expat License"),
@@ -85,8 +85,7 @@ def _features(text: str) -> list[str]:
 
 def _examples() -> list[tuple[str, str]]:
     rng = random.Random(5)
-    stems = ("er", "on", "the", "in", "ta", "lo", "mi", "su", "ra", "ke", "tion", "ed")
-    noise = lambda n: " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(2, 5))) for _ in range(n))
     out = []
     for family, names in NAMES.items():
         for name in names:
@@ -160,8 +159,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (0-based line), family, probability, template_similarity, confirmed of paragraphs with a licence."""
     model = train()
     classes, n = model["classes"], len(model["classes"])
-    # of a pair one word is enough to look for: not one of those that weigh only beside another, if it can be
-    vocabulary = sorted({min(f.split(" "), key=lambda w: (w in IN_PAIRS, -len(w), w)) for f in model["weights"]})
+    # of a pair one word is enough to look for: the one that comes first in IN_PAIRS, or is not there at all
+    vocabulary = sorted({min(f.split(" "), key=lambda w: (IN_PAIRS.index(w) if w in IN_PAIRS else -1, -len(w), w)) for f in model["weights"]})
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     stop = F.array(*map(F.lit, ("", *STOP)))
     known = weights = _literal(model["weights"], "map<string,array<double>>")
