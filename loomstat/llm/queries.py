@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomstat.llm.bpe import op5_byte_bpe
 from loomstat.llm.chat import OP1_SQL, op1_chat_formatting
+from loomstat.llm.coder import op6_token_output
 from loomstat.llm.decontaminate import op2_decontamination
 from loomstat.llm.language import op10_language
 from loomstat.llm.licences import op4_licence_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_licence_scan": op4_licence_scan,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_token_output": op6_token_output,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_nearest_vectors": op9_nearest_vectors,
