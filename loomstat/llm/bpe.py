@@ -26,14 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from loomstat.llm.common import table, text_slices, utf8
+from loomstat.llm.common import table, text_slices, tidy, utf8
 from loomstat.llm.pieces import Pieces, gather
 
 NO_RANK = 2**31 - 1
 #: Bytes of text whose distinct pieces are folded together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], name: str = "token_ids") ->
             column = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, ArrayType(IntegerType())))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields]).add(name, ArrayType(IntegerType())))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -168,7 +168,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", n
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([whole[x:y] for x, y in zip(at, at[1:])], pa.binary())], names=[*part.schema.names, name])
 
-    return tokens.mapInArrow(run, StructType([*tokens.schema.fields]).add(name, BinaryType()))
+    return tokens.mapInArrow(tidy(run), StructType([*tokens.schema.fields]).add(name, BinaryType()))
 
 
 def _sizes(column: pa.Array) -> np.ndarray:
@@ -230,21 +230,32 @@ def fold_column(word: Column, ranks: dict[bytes, int]) -> Column:
     return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(let(F.hex(word), body))
 
 
-def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the texts decoded from them, each made where the ids are."""
-    ranks = public_ranks()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs, ranks).drop("text"), ranks))
-
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], ids: str | None = "token_ids") -> DataFrame:
+    """docs with n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (the bytes decoded
+    from the ids) and the ids, if a name is given for them; in one pass and one worker a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of doc_id, token_ids, decoded."""
     def run(batches):
-        for batch in batches:
-            column = batch.column("token_ids")
-            cut, flat = np.r_[0, np.cumsum(_sizes(column))], column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(cut, cut[1:])]
-            texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(cut)), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        merges = _merges(shared)
+        for part in text_slices(batches, limit=BLOCK_BYTES):
+            flat, cut = merges.encode(*utf8(part.column("text")))
+            raw, at = merges.decode(flat, cut)
+            own = flat.astype("<u4")
+            columns = [pa.array(np.diff(cut)), _digests(own, cut), _digests(raw, at)]
+            if ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32())))
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *schema.names[len(part.schema.names) :]])
 
-    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = StructType([*docs.schema.fields]).add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
+    schema = schema.add(ids, ArrayType(IntegerType())) if ids else schema
+    return docs.mapInArrow(tidy(run), schema)
+
+
+def _digests(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(cut, cut[1:])], pa.string())
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the texts decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, public_ranks(), ids=None).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import shared_folder, table, text_slices, utf8
+from loomstat.llm.common import shared_folder, table, text_slices, tidy, utf8
 from loomstat.llm.pieces import Pieces, gather
 
 MAGIC = b"LMCX1\n"
@@ -321,7 +321,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> None
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "part long, seq long, before long, n_ids long, payload binary").write.parquet(folder)
+    ordered.mapInArrow(tidy(run), "part long, seq long, before long, n_ids long, payload binary").write.parquet(folder)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -343,7 +343,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 crcs = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cut[:-1] + shared.value[row["part"]] + row["before"]), pa.array(np.diff(cut)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "before", "payload").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

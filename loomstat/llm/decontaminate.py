@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import alphanumeric, grams, per_row, table, text_slices, utf8, words_of
+from loomstat.llm.common import alphanumeric, grams, per_row, table, text_slices, tidy, utf8, words_of
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -123,7 +123,7 @@ def overlaps(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest_tile", pa.int64())]))
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(run), schema))
     return out
 
 
@@ -139,7 +139,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
                     clean[r] &= c < threshold
                 yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import fold_remainder, grams, per_row, row_sums, table, text_slices, utf8
+from loomstat.llm.common import fold_remainder, grams, per_row, row_sums, table, text_slices, tidy, utf8
 
 #: Most rows that the model learns from.
 SAMPLE_ROWS = 8_000
@@ -137,7 +137,7 @@ def fit(labelled: DataFrame) -> dict | None:
         kept = np.flatnonzero(np.any(w != 0, axis=1))
         yield pa.RecordBatch.from_pydict({"place": pa.array(np.r_[kept, -1, -2], pa.int64()), "weights": pa.array([*w[kept].tolist(), bias.tolist(), [t] * len(langs)], pa.list_(pa.float64()))})
 
-    got = labelled.withColumn("key", F.xxhash64("doc_id")).repartition(1).mapInArrow(train, "place long, weights array<double>").collect()
+    got = labelled.withColumn("key", F.xxhash64("doc_id")).repartition(1).mapInArrow(tidy(train), "place long, weights array<double>").collect()
     special = {r.place: r.weights for r in got if r.place < 0}
     kept = sorted((r.place, r.weights) for r in got if r.place >= 0)
     return {"langs": langs, "places": np.array([k for k, _ in kept], np.int64), "weights": np.array([w for _, w in kept], np.float32).reshape(-1, len(langs)), "bias": np.array(special[-1]), "temperature": special[-2][0]}
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
             names = [m["langs"][k] if ok else "und" for k, ok in zip(best, has)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(has, p[np.arange(len(p)), best], 0.0), pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

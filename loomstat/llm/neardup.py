@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import checkpoint, grams, mix, nonspace, per_row, table, text_slices, utf8, words_of
+from loomstat.llm.common import checkpoint, grams, mix, nonspace, per_row, release, table, text_slices, tidy, utf8, words_of
 
 HASHES, BANDS, ROWS, SKETCH_BITS, CUT = 512, 48, 6, 1024, 266
 #: Most classes and shingles of a block; two blocks meet in a task.
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     bands[at], bits[at] = k, s.tobytes()
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,12 +218,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets], names=[*names, "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    sets = texts.join(placed, "rep").mapInArrow(with_sets, "rep long, cluster long, sketch binary, blocks int, block int, shingles binary")
+    sets = texts.join(placed, "rep").mapInArrow(tidy(with_sets), "rep long, cluster long, sketch binary, blocks int, block int, shingles binary")
     meet = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         links = confirmed(group.column("rep").to_numpy(), [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()], np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1), group.column("block").to_numpy(), percent) if group.num_rows > 1 else []
+        if group.num_rows > 100:
+            release()
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
     links = meet.select("rep", "cluster", "i", "j", "block", "sketch", "shingles").groupBy("cluster", "i", "j").applyInArrow(compare, "u long, v long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomstat.llm.common import table
+from loomstat.llm.common import table, tidy
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -360,7 +360,7 @@ def find(docs: DataFrame) -> DataFrame:
                 clean.append(redact(text, spans) if spans else text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind), pa.array(every, kind), pa.array(clean, pa.string())], names=[*batch.schema.names, "pii_base", "pii_spans", "pii_redacted"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *extra.fields]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *extra.fields]))
 
 
 def redact_text(docs: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def redact_text(docs: DataFrame) -> DataFrame:
                         texts[i] = redact(text, spans)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

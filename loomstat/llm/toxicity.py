@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import alphanumeric, fold_remainder, grams, per_row, row_sums, table, text_slices, utf8, words_of
+from loomstat.llm.common import alphanumeric, fold_remainder, grams, per_row, row_sums, table, text_slices, tidy, utf8, words_of
 
 #: Most labelled rows that the model learns from.
 SAMPLE_ROWS = 12_000
@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.nd
 
     chosen = sample(labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), rows)
     keyed = chosen.withColumn("key", F.xxhash64("doc_id")).repartition(1)
-    model = keyed.mapInArrow(train, "place long, weight double").collect()
+    model = keyed.mapInArrow(tidy(train), "place long, weight double").collect()
     bias = [m.weight for m in model if m.place < 0]
     model = sorted((m.place, m.weight) for m in model if m.place >= 0)
     return np.array([m[0] for m in model], np.int64), np.array([m[1] for m in model], np.float64), bias[0] if bias else 0.0
@@ -115,7 +115,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: st
             margin = bias + row_sums(dense[places], rows, part.num_rows)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

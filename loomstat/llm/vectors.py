@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import table
+from loomstat.llm.common import table, tidy
 
 SAMPLE_ROWS = 8_192
 STAGES, WORDS, BEAM, ROUNDS = 12, 256, 6, 1
@@ -123,7 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 norms = (decode(codes, shared.value) ** 2).sum(1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=[*batch.schema.names, "codes", "norm"])
 
-    coded = vectors.mapInArrow(add_codes, "vec_id long, embedding array<double>, codes binary, norm double")
+    coded = vectors.mapInArrow(tidy(add_codes), "vec_id long, embedding array<double>, codes binary, norm double")
     n_candidates, n_queries = vectors.count(), queries.count()
     over, across = -(-n_candidates // CANDIDATE_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
     # rows of one vec_id spread too: a block is picked by the vector as well
