@@ -42,10 +42,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids, and the digest of the text that the ids decode to."""
-    ranks = bpe.public_ranks()
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks).drop("text"), ranks)
-    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, token_ids, and the digests of the ids and of the text that they decode to."""
+    coded = bpe.round_trip(docs.select("doc_id", "text"), bpe.public_ranks())
+    return coded.select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
