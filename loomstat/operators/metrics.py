@@ -95,34 +95,34 @@ def _cumulated(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     totals = placed.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
     whole = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = totals.select("range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn"), F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N"))
+    base = totals.select("range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn"), F.sum("rp").over(whole).alias("all_p"), F.sum("rn").over(whole).alias("all_n"))
     own = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("wp", F.sum("p").over(own)).withColumn("wn", F.sum("n").over(own)).join(F.broadcast(base), "range").select("score", "p", "n", (F.col("bp") + F.col("wp")).alias("tp"), (F.col("bn") + F.col("wn")).alias("fp"), "P", "N")
+    return placed.withColumn("wp", F.sum("p").over(own)).withColumn("wn", F.sum("n").over(own)).join(F.broadcast(base), "range").select("score", "p", "n", (F.col("bp") + F.col("wp")).alias("tp"), (F.col("bn") + F.col("wn")).alias("fp"), "all_p", "all_n")
 
 
 def roc_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     """threshold, fpr, tpr for each distinct score; no point for the empty prediction."""
-    return _cumulated(df, label, score, positive).select(F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    return _cumulated(df, label, score, positive).select(F.col("score").alias("threshold"), (F.col("fp") / F.col("all_n")).alias("fpr"), (F.col("tp") / F.col("all_p")).alias("tpr"))
 
 
 def auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties by half."""
-    return _cumulated(df, label, score, positive).agg((F.sum(F.col("p").cast("double") * (F.col("N") - F.col("fp") + F.col("n") / 2.0)) / F.first(F.col("P").cast("double") * F.col("N"))).alias("auc"))
+    return _cumulated(df, label, score, positive).agg((F.sum(F.col("p").cast("double") * (F.col("all_n") - F.col("fp") + F.col("n") / 2.0)) / F.first(F.col("all_p").cast("double") * F.col("all_n"))).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    return _cumulated(df, label, score, positive).agg(F.sum(F.col("p") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
+    return _cumulated(df, label, score, positive).agg(F.sum(F.col("p") / F.col("all_p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
 
 
 def precision_recall_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    return _cumulated(df, label, score, positive).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("P")).alias("recall"))
+    return _cumulated(df, label, score, positive).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("all_p")).alias("recall"))
 
 
 def multiclass_auc(df: DataFrame, label: str, scores: dict, average: str = "macro") -> DataFrame:
     """One-vs-rest AUC; scores maps each class to its score column."""
     each = None
     for value, column in scores.items():
-        one = _cumulated(df, label, column, value).agg((F.sum(F.col("p").cast("double") * (F.col("N") - F.col("fp") + F.col("n") / 2.0)) / F.first(F.col("P").cast("double") * F.col("N"))).alias("auc"), F.first("P").alias("support"))
+        one = _cumulated(df, label, column, value).agg((F.sum(F.col("p").cast("double") * (F.col("all_n") - F.col("fp") + F.col("n") / 2.0)) / F.first(F.col("all_p").cast("double") * F.col("all_n"))).alias("auc"), F.first("all_p").alias("support"))
         each = one if each is None else each.unionByName(one)
     if average == "macro":
         return each.agg(F.avg("auc").alias("auc"))
@@ -209,10 +209,10 @@ def adjusted_rand(df: DataFrame, truth: str, cluster: str) -> DataFrame:
 def information(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     """mutual_information, homogeneity, completeness, v_measure, nmi (arithmetic); natural logarithms."""
     t = _contingency(df, truth, cluster)
-    total = t.agg(F.sum("n").alias("N"))
+    total = t.agg(F.sum("n").alias("all_n"))
     t = t.join(F.broadcast(total)).agg(
-        F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("ra") * F.col("cb")))).alias("mi"),
-        F.sum(-F.col("n") / F.col("N") * F.log(F.col("ra") / F.col("N"))).alias("ha"), F.sum(-F.col("n") / F.col("N") * F.log(F.col("cb") / F.col("N"))).alias("hb"))
+        F.sum(F.col("n") / F.col("all_n") * F.log(F.col("n") * F.col("all_n") / (F.col("ra") * F.col("cb")))).alias("mi"),
+        F.sum(-F.col("n") / F.col("all_n") * F.log(F.col("ra") / F.col("all_n"))).alias("ha"), F.sum(-F.col("n") / F.col("all_n") * F.log(F.col("cb") / F.col("all_n"))).alias("hb"))
     h, c = F.when(F.col("ha") > 0, F.col("mi") / F.col("ha")).otherwise(1.0), F.when(F.col("hb") > 0, F.col("mi") / F.col("hb")).otherwise(1.0)
     return t.select(F.col("mi").alias("mutual_information"), h.alias("homogeneity"), c.alias("completeness"), F.when(h + c > 0, 2 * h * c / (h + c)).otherwise(0.0).alias("v_measure"), F.when(F.col("ha") + F.col("hb") > 0, 2 * F.col("mi") / (F.col("ha") + F.col("hb"))).otherwise(1.0).alias("nmi"))
 

@@ -51,6 +51,10 @@ def squared(s: dict) -> Column:
     return s["yy"] - s["y"] * s["y"] / s["w"]
 
 
+def _at_least(name: str):
+    return lambda c: c >= F.col(name)
+
+
 def grow(df: DataFrame, features: list[str], stats: dict[str, Column], impurity, max_depth=None, min_split=2, min_leaf=1, max_features="all", seed=0, splitter="best", max_bins=None, max_leaves=None, least_gain=1e-12) -> dict:
     """Nodes by id: stats, feature, threshold, left, right, gain. stats must hold n, the row count; impurity(stats) is additive (not a mean).
 
@@ -64,8 +68,8 @@ def grow(df: DataFrame, features: list[str], stats: dict[str, Column], impurity,
         edges = base.agg(*[F.percentile_approx(f"_x{i}", at, 10_000).alias(f"_x{i}") for i in range(p)]).first()
         for i in range(p):
             cuts = sorted(set(edges[i]))
-            bins = F.array(*map(F.lit, cuts))
-            base = base.withColumn(f"_x{i}", F.coalesce(F.array_min(F.filter(bins, lambda c, i=i: c >= F.col(f"_x{i}"))), F.col(f"_x{i}") * 0 + (cuts[-1] + max(1.0, abs(cuts[-1])))))
+            above = F.filter(F.array(*map(F.lit, cuts)), _at_least(f"_x{i}"))
+            base = base.withColumn(f"_x{i}", F.coalesce(F.array_min(above), F.col(f"_x{i}") * 0 + (cuts[-1] + max(1.0, abs(cuts[-1])))))
     base = base.persist()
     root = base.agg(*[F.sum(s).alias(s) for s in names]).first().asDict()
     if not root["n"]:
