@@ -12,7 +12,8 @@ map; it gives the same ids, and takes some 300 microseconds for a distinct piece
 the README), so encode() uses the vectorised fold.
 
 Null and empty texts have no ids and decode to an empty text. Text and ids of any
-length are whole; repeated rows are each encoded. Extra columns stay as they are.
+length are whole; repeated rows are each encoded. Extra columns stay, but for those whose names the
+result needs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from loomstat.llm.common import table, text_slices, tidy, utf8
+from loomstat.llm.common import table, text_slices, tidy, utf8, without
 from loomstat.llm.pieces import Pieces, gather
 
 NO_RANK = 2**31 - 1
@@ -141,6 +142,7 @@ class Merges:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], name: str = "token_ids") -> DataFrame:
     """docs with an array of ids of each whole text."""
+    docs = without(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
@@ -155,6 +157,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], name: str = "token_ids") ->
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", name: str = "decoded") -> DataFrame:
     """tokens with the bytes that the ids stand for."""
+    tokens = without(tokens, name)
     shared = tokens.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
@@ -233,6 +236,7 @@ def fold_column(word: Column, ranks: dict[bytes, int]) -> Column:
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], ids: str | None = "token_ids") -> DataFrame:
     """docs with n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (the bytes decoded
     from the ids) and the ids, if a name is given for them; in one pass and one worker a task."""
+    docs = without(docs, "n_tokens", "ids_sha256", "decoded_sha256", *([ids] if ids else []))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):

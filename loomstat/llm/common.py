@@ -57,6 +57,12 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names (case aside): what an operator adds replaces them."""
+    taken = {n.lower() for n in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken]) if any(c.lower() in taken for c in df.columns) else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores until no column is called so (case aside)."""
     taken = {c.lower() for c in df.columns}

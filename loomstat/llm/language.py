@@ -9,7 +9,7 @@ kept out to fit the temperature. Every text is scored in full.
 
 A null text, or one without a letter, is `und` with score 0; so is every text if
 there was no row to learn from. Null lang is not learned from. Ties go to the
-language that sorts first.
+language that sorts first. Columns lang_pred and score are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import fold_remainder, grams, per_row, row_sums, table, text_slices, tidy, utf8
+from loomstat.llm.common import fold_remainder, grams, per_row, row_sums, table, text_slices, tidy, utf8, without
 
 #: Most rows that the model learns from.
 SAMPLE_ROWS = 8_000
@@ -147,6 +147,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs with lang_pred and score; whole texts, every row."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    docs = without(docs, "lang_pred", "score")
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})

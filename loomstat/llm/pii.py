@@ -11,7 +11,8 @@ it knows `secret` (keys and tokens). It is trained by maximum likelihood
 (forward-backward over segmentations) on sentences made by examples().
 
 Null and empty texts have no spans. Positions are code points, end exclusive. Every
-row is kept, repeated ones too; extra columns stay as they are.
+row is kept, repeated ones too; extra columns stay, but for
+those whose names the result needs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomstat.llm.common import table, tidy
+from loomstat.llm.common import table, tidy, without
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -339,7 +340,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs with base (array of kind, start, end), spans (all, likewise) and redacted text."""
+    """docs with pii_base (array of kind, start, end), pii_spans (all, likewise) and pii_redacted text."""
+    docs = without(docs, "pii_base", "pii_spans", "pii_redacted")
     shared = docs.sparkSession.sparkContext.broadcast(train())
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -10,7 +10,7 @@ for each of 2 ** BITS places, so the weights' size is bounded.
 Null and empty texts have no features and get the score of the bias. Null labels
 are not learned from; without any labelled row every score is 0.5. Repeated rows
 count as often as they stand there. Extra columns are ignored by the query and
-kept by score().
+kept by score(), which replaces one that has its own name.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import alphanumeric, fold_remainder, grams, per_row, row_sums, table, text_slices, tidy, utf8, words_of
+from loomstat.llm.common import alphanumeric, fold_remainder, grams, per_row, row_sums, table, text_slices, tidy, utf8, without, words_of
 
 #: Most labelled rows that the model learns from.
 SAMPLE_ROWS = 12_000
@@ -100,7 +100,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: st
     """docs with a column of scores from 0 to 1; whole texts, every row."""
     from pyspark.sql.types import DoubleType, StructType
 
-    kept, w, bias = model
+    docs, (kept, w, bias) = without(docs, name), model
     shared = docs.sparkSession.sparkContext.broadcast((kept, w.astype(np.float64), bias))
 
     def run(batches):
