@@ -14,7 +14,7 @@ number of candidates examined grows with their number.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those whose length is not the most common one (of equals, the smaller). Rows of
-the same vec_id are each a candidate. Extra columns are ignored; an empty table
+the same vec_id are each a candidate; a query that stands there twice is asked once. Extra columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -107,7 +107,7 @@ def _matrix(column) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest among all vectors of another vec_id."""
     spark = vectors.sparkSession
-    vectors, queries = usable(vectors), usable(queries)
+    vectors, queries = usable(vectors), usable(queries).dropDuplicates(["vec_id", "embedding"])
     taught = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").collect()
     schema = "query_id long, vec_id long, score double"
     if not taught:
