@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.base import Model, Params, check_features, number
-from loomstat.errors import InvalidParameter, UnexpectedMissingness
+from loomstat.errors import InvalidParameter, UnexpectedMissingness, UnsupportedOperation
 
 
 class SimpleImputer(Params):
@@ -33,7 +33,19 @@ class SimpleImputer(Params):
             fills = [float(self.fill_value)] * len(names)
         elif self.keep_empty_features:
             fills = [0.0 if f is None else f for f in fills]
-        return SimpleImputerModel(features=names, fills=fills, gaps=[row[f"n{i}"] < row["rows"] for i in range(len(names))], add_indicator=self.add_indicator, suffix=self.suffix)
+        return SimpleImputerModel(features=names, fills=fills, counts=[row[f"n{i}"] for i in range(len(names))], gaps=[row[f"n{i}"] < row["rows"] for i in range(len(names))], add_indicator=self.add_indicator, suffix=self.suffix)
+
+
+    def update(self, model: "SimpleImputerModel", df: DataFrame) -> "SimpleImputerModel":
+        """Means of all batches by their counts; constants stay. Medians and modes need the whole column."""
+        if self.strategy not in ("mean", "constant"):
+            raise UnsupportedOperation(f"{self.strategy} cannot be updated batch by batch")
+        new = self.fit(df)
+        fills, counts = [], []
+        for a, n, b, m in zip(model.fills, model.counts, new.fills, new.counts):
+            fills.append(b if not n else a if not m else (a * n + b * m) / (n + m) if self.strategy == "mean" else a)
+            counts.append(n + m)
+        return SimpleImputerModel(**{**new.state(), "fills": fills, "counts": counts, "gaps": [x or y for x, y in zip(model.gaps, new.gaps)]})
 
 
 class SimpleImputerModel(Model):

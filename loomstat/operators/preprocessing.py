@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.base import Model, Params, check_features, check_guard, finite_guard
-from loomstat.errors import InvalidParameter, UnknownLabel
+from loomstat.errors import InvalidParameter, UnknownLabel, UnsupportedOperation
 
 
 def _scaled(names: list[str], suffix: str) -> list[str]:
@@ -99,13 +99,27 @@ class MinMaxScalerModel(Model):
 class RobustScaler(Params):
     """(x - median) / (upper - lower quantile), quantiles interpolated linearly; a span that is not positive counts 1."""
 
-    defaults = {"features": (), "with_centering": True, "with_scaling": True, "lower": 25.0, "upper": 75.0, "unit_variance": False, "suffix": "_scaled"}
+    defaults = {"features": (), "with_centering": True, "with_scaling": True, "lower": 25.0, "upper": 75.0, "unit_variance": False, "suffix": "_scaled", "sketch": False}
 
     def check(self) -> None:
         if not 0 <= self.lower < self.upper <= 100:
             raise InvalidParameter("quantiles must satisfy 0 <= lower < upper <= 100")
 
+    def _sketched(self, df: DataFrame, old: list[str] | None = None) -> "RobustScalerModel":
+        """Quantiles of mergeable sketches of bounded size; old ones (base64) are merged in."""
+        names = list(self.features)
+        check_features(df, names)
+        row = df.agg(*finite_guard(names), *[F.kll_sketch_agg_double(F.col(n).cast("double"), F.lit(800)).alias(f"k{i}") for i, n in enumerate(names)])
+        merged = {f"k{i}": F.col(f"k{i}") if old is None else F.kll_sketch_merge_double(F.col(f"k{i}"), F.unbase64(F.lit(old[i]))) for i in range(len(names))}
+        row = row.withColumns(merged)
+        ranks = (self.lower / 100, 0.5, self.upper / 100)
+        got = row.select("_rows", *[f"_bad_{i}" for i in range(len(names))], *[F.base64(f"k{i}").alias(f"s{i}") for i in range(len(names))], *[F.kll_sketch_get_quantile_double(f"k{i}", F.lit(r)).alias(f"q{i}_{j}") for i in range(len(names)) for j, r in enumerate(ranks)]).first()
+        check_guard(got, names)
+        return RobustScalerModel(**{**self.params(), "features": names}, quantiles=[[got[f"q{i}_{j}"] for j in range(3)] for i in range(len(names))], sketches=[got[f"s{i}"] for i in range(len(names))])
+
     def fit(self, df: DataFrame) -> "RobustScalerModel":
+        if self.sketch:
+            return self._sketched(df)
         names = list(self.features)
         check_features(df, names)
         at = F.array(F.lit(self.lower / 100), F.lit(0.5), F.lit(self.upper / 100))
@@ -115,6 +129,13 @@ class RobustScaler(Params):
 
 
 class RobustScalerModel(Model):
+    def update(self, df: DataFrame) -> "RobustScalerModel":
+        """Another batch; only models that were fitted with sketch=True keep what this needs."""
+        if not getattr(self, "sketches", None):
+            raise UnsupportedOperation("fit with sketch=True to update")
+        own = RobustScaler(**{k: getattr(self, k) for k in RobustScaler.defaults})
+        return own._sketched(df, self.sketches)
+
     def scale(self) -> list[float]:
         normal = NormalDist()
         unit = normal.inv_cdf(self.upper / 100) - normal.inv_cdf(self.lower / 100) if self.unit_variance else 1.0
@@ -155,6 +176,11 @@ class OneHotEncoder(Params):
 
 
 class OneHotEncoderModel(Model):
+    def update(self, df: DataFrame, row_id: str) -> "OneHotEncoderModel":
+        """Categories of another batch go behind those known."""
+        more = [[v for v in label_table(df, n, row_id) if v not in known] for n, known in zip(self.features, self.categories)]
+        return OneHotEncoderModel(**{**self.state(), "categories": [a + b for a, b in zip(self.categories, more)]})
+
     def names(self) -> list[str]:
         return [f"{n}_{i}" for n, c in zip(self.features, self.categories) for i in range(len(c))]
 

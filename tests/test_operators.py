@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstat import base, errors
 from loomstat.functions import vectors as V
-from loomstat.operators import cluster, decomposition, ensemble, linear, metrics, model_selection, neighbors, outlier, preprocessing, svm, tree
+from loomstat.operators import cluster, decomposition, ensemble, impute, linear, metrics, model_selection, neighbors, outlier, preprocessing, svm, tree
 from loomstat.plans.pipeline import Graph, Pipeline
 from loomstat.sources import readers
 from loomstat.streaming.incremental import fit_stream
@@ -229,3 +229,30 @@ def test_stream_equals_batch(spark, separable, tmp_path):
     assert np.allclose([*streamed.coef, streamed.intercept], [*whole.coef, whole.intercept])
     piped = Pipeline(preprocessing.StandardScaler(features=["a"])).fit_stream([separable.where("id < 7"), separable.where("id >= 7")])
     assert np.allclose(piped.models[0].mean, preprocessing.StandardScaler(features=["a"]).fit(separable).mean)
+
+
+def test_incremental_transformers(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 97).cast("double").alias("x"), F.when(F.col("id") % 4 > 0, F.col("id") % 10).cast("double").alias("g"), F.concat(F.lit("c"), F.floor(F.col("id") / 400)).alias("s"))
+    a, b = df.where("id < 300"), df.where("id >= 300")
+    exact = preprocessing.RobustScaler(features=["x"]).fit(df).quantiles[0]
+    merged = preprocessing.RobustScaler(features=["x"], sketch=True).fit(a).update(b).quantiles[0]
+    assert np.abs(np.array(exact) - merged).max() <= 2
+    with pytest.raises(errors.UnsupportedOperation):
+        preprocessing.RobustScaler(features=["x"]).fit(a).update(b)
+    e = impute.SimpleImputer(features=["g"])
+    assert abs(e.update(e.fit(a), b).fills[0] - e.fit(df).fills[0]) < 1e-9
+    hot = preprocessing.OneHotEncoder(features=["s"], row_id="id").fit(a).update(b, "id")
+    assert hot.categories == preprocessing.OneHotEncoder(features=["s"], row_id="id").fit(df).categories
+
+
+def test_tensor_files(spark, separable):
+    from loomstat.sources import tensors
+
+    m = preprocessing.StandardScaler(features=["a", "b"]).fit(separable)
+    for compress in (False, True):
+        data = tensors.model_bytes(m, compress)
+        assert tensors.model_from(data).state() == m.state()
+    with pytest.raises(errors.SchemaMismatch):
+        tensors.decode(b"abc")
+    t = {n: np.zeros(k) for n, k in (("a", 2), ("b", 2), ("c", 9), ("d", 1))}
+    assert tensors.shards(t, 32) == [["a", "b"], ["c"], ["d"]]
