@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.base import NUMERIC
 from loomstat.errors import InvalidParameter
 from loomstat.operators.metrics import score as score_of
 
@@ -33,6 +34,16 @@ def ranked(df: DataFrame, order: list[Column], name: str, by: list[str] = (), ke
     return keyed.withColumn("_own", own).join(F.broadcast(before), [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
 
 
+def _value_range(df: DataFrame, column: str) -> Column | None:
+    """Steps of equal width from a numeric column's least to its largest value; None for other types, whose rows are ranked in one window."""
+    if not isinstance(df.schema[column].dataType, NUMERIC):
+        return None
+    low, high = df.agg(F.min(F.col(column).cast("double")), F.max(F.col(column).cast("double"))).first()
+    if low is None or not high > low:
+        return None
+    return F.floor((F.col(column).cast("double") - low) / ((high - low) * (1 + 1e-12)) * RANGES)
+
+
 def _hash_range(c: Column) -> Column:
     return F.floor((c.cast("double") / 2.0**64 + 0.5) * RANGES)
 
@@ -43,7 +54,7 @@ def train_test_split(df: DataFrame, row_id: str, test_size: float = 0.25, seed:
         raise InvalidParameter("test_size is a share between 0 and 1")
     by = [stratify] if stratify else []
     h = shuffled(row_id, seed)
-    placed = ranked(df, [h, F.col(row_id)] if shuffle else [F.col(row_id)], "_rank", by, _hash_range(h) if shuffle else None)
+    placed = ranked(df, [h, F.col(row_id)] if shuffle else [F.col(row_id)], "_rank", by, _hash_range(h) if shuffle else _value_range(df, row_id))
     sizes = df.groupBy(*by).agg(F.ceil(F.count("*") * test_size).alias("_tests"))
     joined = placed.join(F.broadcast(sizes), by) if by else placed.join(F.broadcast(sizes))
     return joined.withColumn("is_test", F.col("_rank") < F.col("_tests")).drop("_rank", "_tests")
@@ -54,7 +65,7 @@ def k_fold(df: DataFrame, row_id: str, k: int = 5, shuffle: bool = False, seed:
     if k < 2:
         raise InvalidParameter("k must be 2 or more")
     h = shuffled(row_id, seed)
-    placed = ranked(df, [h, F.col(row_id)] if shuffle else [F.col(row_id)], "_rank", [], _hash_range(h) if shuffle else None)
+    placed = ranked(df, [h, F.col(row_id)] if shuffle else [F.col(row_id)], "_rank", [], _hash_range(h) if shuffle else _value_range(df, row_id))
     n = df.agg(F.count("*").alias("_n"))
     size, more = F.floor(F.col("_n") / k), F.col("_n") % k
     head = more * (size + 1)
@@ -65,7 +76,7 @@ def k_fold(df: DataFrame, row_id: str, k: int = 5, shuffle: bool = False, seed:
 def stratified_k_fold(df: DataFrame, row_id: str, label: str, k: int = 5, shuffle: bool = False, seed: int = 0) -> DataFrame:
     """df with fold: position within the class, modulo k."""
     order = [shuffled(row_id, seed), F.col(row_id)] if shuffle else [F.col(row_id)]
-    placed = ranked(df, order, "_rank", [label], _hash_range(shuffled(row_id, seed)) if shuffle else None)
+    placed = ranked(df, order, "_rank", [label], _hash_range(shuffled(row_id, seed)) if shuffle else _value_range(df, row_id))
     return placed.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
 
 
@@ -73,7 +84,8 @@ def group_k_fold(df: DataFrame, group: str, k: int | None = None, shuffle: bool
     """df with fold: groups, shuffled, dealt round-robin; without k each group is a fold."""
     groups = df.select(group).distinct()
     order = [F.xxhash64(F.lit(seed), F.col(group)), F.col(group)] if shuffle else [F.col(group)]
-    at = groups.withColumn("fold", F.row_number().over(Window.orderBy(*order)) - 1)
+    h = F.xxhash64(F.lit(seed), F.col(group))
+    at = ranked(groups, order, "fold", [], _hash_range(h) if shuffle else _value_range(groups, group))
     at = at if k is None else at.withColumn("fold", F.col("fold") % k)
     return df.join(at.withColumn("fold", F.col("fold").cast("int")), group)
 
