@@ -1,8 +1,9 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words are runs of ASCII letters and digits (A-Z as a-z) and of bytes over 127.
-Features are the presence of words, of pairs of neighbours and of pairs with one
-word between. Training takes at most SAMPLE_ROWS labelled rows, those of least
+Features are the presence of words, of their stems (first 4, 5 and 6 bytes of longer
+words, so that inflected forms count together), of pairs of neighbours and of pairs with
+one word between. Training takes at most SAMPLE_ROWS labelled rows, those of least
 hash of doc_id (a documented bound; all of them if there are fewer), on one
 executor; scoring reads every text in full. L1 leaves few weights, at most one
 for each of 2 ** BITS places, so the weights' size is bounded.
@@ -20,22 +21,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import alphanumeric, fold_remainder, grams, per_row, row_sums, table, text_slices, tidy, utf8, without, words_of
+from loomstat.llm.common import alphanumeric, fold_remainder, grams, mix, per_row, row_sums, span_hashes, table, text_slices, tidy, utf8, without, word_spans
 
 #: Most labelled rows that the model learns from.
 SAMPLE_ROWS = 12_000
 #: Hashed places: 2 ** BITS.
 BITS = 20
+#: Lengths in bytes of the stems that stand beside a word.
+STEMS = (4, 5, 6)
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.1, 5
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and rows of every word, pair and skip-pair."""
-    words, rows = words_of(raw, offsets, alphanumeric())
-    pair, pair_rows, _ = grams(words, rows, 2)
-    skip, skip_rows, _ = grams(words, rows, 2, step=2)
-    places = np.concatenate([words, pair, skip]) >> np.uint64(64 - BITS)
-    return places.astype(np.int64), np.concatenate([rows, pair_rows, skip_rows])
+    """Places and rows of every word, stem, pair and skip-pair."""
+    classes = alphanumeric()
+    starts, ends, rows = word_spans(raw, offsets, classes)
+    words = span_hashes(raw, starts, ends, classes.value)
+    found = [(words, rows), grams(words, rows, 2)[:2], grams(words, rows, 2, step=2)[:2]]
+    for k in STEMS:
+        long = np.flatnonzero(ends - starts > k)
+        found.append((mix(span_hashes(raw, starts[long], starts[long] + k, classes.value) + np.uint64(k)), rows[long]))
+    places = np.concatenate([h for h, _ in found]) >> np.uint64(64 - BITS)
+    return places.astype(np.int64), np.concatenate([r for _, r in found])
 
 
 def presence(places: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -441,9 +441,10 @@ def test_toxicity_odd_tables(spark, odd, empty):
 
 
 def test_toxicity_features_by_hand():
-    raw, offsets = utf8(pa.array(["A b, c", None, "a B c"]))
+    raw, offsets = utf8(pa.array(["A b, c", None, "a B c", "abcdefgh", "abcdex"]))
     places, rows = toxicity.features(raw, offsets)
     assert sorted(places[rows == 0]) == sorted(places[rows == 2]) and len(places[rows == 0]) == 3 + 2 + 1 and not (rows == 1).any()
+    assert len(places[rows == 3]) == 1 + 3 and len(set(places[rows == 3]) & set(places[rows == 4])) == 2  # stems abcd and abcde
 
 
 def test_language_held_out(spark):
