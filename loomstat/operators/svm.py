@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from loomstat.base import Model, Params, check_features
-from loomstat.errors import EmptyInput, InvalidParameter, NotConverged
+from loomstat.errors import EmptyInput, InvalidParameter, NotConverged, UnsupportedOperation
 from loomstat.operators.linear import _linear, _sums, class_weights
 
 
@@ -166,10 +166,39 @@ class _KernelSVM(Params):
         return x, [r[-1] for r in got], float(gamma)
 
 
-class SVC(_KernelSVM):
-    """One-vs-one votes, ties to the smaller class."""
+def couple(r: np.ndarray) -> np.ndarray:
+    """Class probabilities (rows x k) that best agree with pairwise ones r (rows x k x k): least sum of (r_ji p_i - r_ij p_j)^2."""
+    k = r.shape[1]
+    q = -r * r.transpose(0, 2, 1)
+    own = (r.transpose(0, 2, 1) ** 2).sum(2) - np.einsum("nii->ni", r) ** 2
+    q[:, np.arange(k), np.arange(k)] = own
+    system = np.ones((len(r), k + 1, k + 1))
+    system[:, :k, :k], system[:, k, k] = q, 0
+    right = np.zeros((len(r), k + 1, 1))
+    right[:, k] = 1
+    p = np.clip(np.linalg.solve(system, right)[:, :k, 0], 0, None)
+    return p / p.sum(1, keepdims=True)
+
 
-    defaults = dict(_KernelSVM.shared)
+class SVC(_KernelSVM):
+    """One-vs-one votes, ties to the smaller class. With probability=True each pair's margins, taken out of fold
+    (at most five folds), are calibrated by a sigmoid, and the pairs are coupled."""
+
+    defaults = {**_KernelSVM.shared, "probability": False}
+
+    def _sigmoid(self, q: np.ndarray, y: np.ndarray, fitted: np.ndarray) -> tuple[float, float]:
+        folds = min(5, int((y > 0).sum()), int((y < 0).sum()))
+        if folds < 2:
+            return platt(fitted, y)
+        fold = np.zeros(len(y), int)
+        for c in (1.0, -1.0):
+            fold[y == c] = np.arange((y == c).sum()) % folds
+        scores = np.zeros(len(y))
+        for f in range(folds):
+            rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            a, b = smo(q[np.ix_(rest, rest)], -np.ones(len(rest)), y[rest], self.c, self.tol, self.max_iter)
+            scores[own] = y[own] * (q[np.ix_(own, rest)] @ a) + b
+        return platt(scores, y)
 
     def fit(self, df: DataFrame) -> "KernelModel":
         x, labels, gamma = self._sample(df)
@@ -184,7 +213,10 @@ class SVC(_KernelSVM):
                 q = kernel_matrix(self.kernel, x[rows], x[rows], gamma, self.coef0, self.degree) * np.outer(y, y)
                 a, b = smo(q, -np.ones(len(y)), y, self.c, self.tol, self.max_iter)
                 keep = a > 1e-12
-                machines.append({"i": i, "j": j, "vectors": x[rows][keep].tolist(), "weights": (a * y)[keep].tolist(), "bias": b})
+                machine = {"i": i, "j": j, "vectors": x[rows][keep].tolist(), "weights": (a * y)[keep].tolist(), "bias": b}
+                if self.probability:
+                    machine["sigmoid"] = list(self._sigmoid(q, y, y * (q @ a) + b))
+                machines.append(machine)
         return KernelModel(kind="classifier", features=list(self.features), classes=classes, machines=machines, kernel=self.kernel, gamma=gamma, coef0=self.coef0, degree=self.degree, prediction=self.prediction)
 
 
@@ -218,6 +250,25 @@ class KernelModel(Model):
 
         return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, ArrayType(DoubleType())))
 
+    def probabilities(self, df: DataFrame, name: str = "probability") -> DataFrame:
+        """df with an array of probabilities in the order of classes."""
+        if self.kind != "classifier" or "sigmoid" not in self.machines[0]:
+            raise UnsupportedOperation("fit SVC with probability=True")
+        k, machines = len(self.classes), [(m["i"], m["j"], *m["sigmoid"]) for m in self.machines]
+
+        def run(batches):
+            for batch in batches:
+                d = np.array(batch.column("_d").to_pylist(), float).reshape(-1, len(machines))
+                r = np.full((len(d), k, k), 0.5)
+                for at, (i, j, a, b) in enumerate(machines):
+                    p = np.clip(1 / (1 + np.exp(np.clip(a * d[:, at] + b, -500, 500))), 1e-7, 1 - 1e-7)
+                    r[:, i, j], r[:, j, i] = p, 1 - p
+                p = couple(r) if k > 2 else r[:, [0, 1], [1, 0]]
+                rest = batch.drop_columns(["_d"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(p.tolist(), pa.list_(pa.float64()))], names=[*rest.schema.names, name])
+
+        return self.decisions(df, "_d").mapInArrow(run, StructType([*df.schema.fields]).add(name, ArrayType(DoubleType())))
+
     def transform(self, df: DataFrame) -> DataFrame:
         d = self.decisions(df, "_d")
         if self.kind == "regressor":

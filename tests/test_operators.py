@@ -256,3 +256,17 @@ def test_tensor_files(spark, separable):
         tensors.decode(b"abc")
     t = {n: np.zeros(k) for n, k in (("a", 2), ("b", 2), ("c", 9), ("d", 1))}
     assert tensors.shards(t, 32) == [["a", "b"], ["c"], ["d"]]
+
+
+def test_svc_probabilities(spark):
+    rng = np.random.default_rng(4)
+    truth = np.array([0.5, 0.3, 0.2])
+    r = truth[:, None] / (truth[:, None] + truth)
+    assert np.allclose(svm.couple(r[None])[0], truth)
+    centres = [(0, 0), (4, 0), (0, 4)]
+    rows = [(i, float(x), float(y), i % 3) for i in range(90) for x, y in [rng.normal(size=2) * 0.5 + centres[i % 3]]]
+    df = table(spark, rows, "id long, a double, b double, y int")
+    m = svm.SVC(features=["a", "b"], label="y", row_id="id", probability=True).fit(df)
+    got = m.probabilities(df).collect()
+    assert all(abs(sum(r.probability) - 1) < 1e-9 and int(np.argmax(r.probability)) == r.y for r in got)
+    assert metrics.accuracy(m.transform(df), "y", "prediction").first()[0] == 1.0
