@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_shuffles(context) -> None:
+    """Let Spark remove the files of rounds that nothing refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    context._jvm.System.gc()
+
+
 def tidy(run):
     """A batch function that gives its memory back when it ends: Spark keeps idle Python workers."""
     @functools.wraps(run)

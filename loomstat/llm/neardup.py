@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import checkpoint, grams, mix, nonspace, per_row, release, table, text_slices, tidy, utf8, words_of
+from loomstat.llm.common import checkpoint, drop_shuffles, grams, mix, nonspace, per_row, release, table, text_slices, tidy, utf8, words_of
 
 HASHES, BANDS, ROWS, SKETCH_BITS, CUT = 512, 48, 6, 1024, 266
 #: Most classes and shingles of a block; two blocks meet in a task.
@@ -119,21 +119,29 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
+#: Edges of a partition between rounds; fewer partitions mean fewer files of each round.
+EDGES_PER_PARTITION = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, component (smallest vertex reachable) for the vertices of edges (u, v), by large-star and small-star rounds."""
+    context = edges.sparkSession.sparkContext
     e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = checkpoint(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = checkpoint(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
+        parts = max(context.defaultParallelism, -(-now[0] // EDGES_PER_PARTITION))
+        e = e.coalesce(parts)
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = checkpoint(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        e = checkpoint(small.coalesce(parts))
+        drop_shuffles(context)
     return e.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(e.select("v", F.col("v").alias("component")).distinct())
 
 
