@@ -221,13 +221,13 @@ def linear_svc(spark, d):
 @query()
 def svc(spark, d):
     df = _classified(spark, d)
-    return svm.SVC(features=["a", "b"], label="y", row_id="c_custkey", max_rows=500).fit(df).transform(df).select("c_custkey", "y", "prediction")
+    return svm.SVC(features=["a", "b"], label="y", row_id="c_custkey").fit(df).transform(df).select("c_custkey", "y", "prediction")
 
 
 @query()
 def svr(spark, d):
     df = _classified(spark, d)
-    return svm.SVR(features=["a"], label="b", row_id="c_custkey", max_rows=300).fit(df).transform(df).select("c_custkey", "b", "prediction")
+    return svm.SVR(features=["a"], label="b", row_id="c_custkey").fit(df).transform(df).select("c_custkey", "b", "prediction")
 
 
 # --- neighbours, distances, kernels ---

@@ -270,3 +270,42 @@ def test_svc_probabilities(spark):
     got = m.probabilities(df).collect()
     assert all(abs(sum(r.probability) - 1) < 1e-9 and int(np.argmax(r.probability)) == r.y for r in got)
     assert metrics.accuracy(m.transform(df), "y", "prediction").first()[0] == 1.0
+
+
+def _not_of_least_hash(spark, n=4100, most=4000):
+    """Ids that a sample of the `most` rows of least hash leaves out."""
+    return {r.id for r in spark.range(n).orderBy(F.desc(F.xxhash64("id")), F.desc("id")).limit(n - most).collect()}
+
+
+def test_svr_learns_from_all_rows(spark):
+    late = _not_of_least_hash(spark)
+    df = table(spark, [(i, 3.0 + i % 7 / 10, 2.0) if i in late else (i, i % 11 / 10, 0.0) for i in range(4100)], "id long, x double, y double")
+    out = svm.SVR(features=["x"], label="y", row_id="id").fit(df).transform(df)
+    assert out.agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 0.12
+
+
+def test_svc_learns_from_all_rows(spark):
+    late = _not_of_least_hash(spark)
+    df = table(spark, [(i, 5.0 + i % 7 / 10, 2) if i in late else (i, i % 2 + i % 11 / 50, i % 2) for i in range(4100)], "id long, x double, y int")
+    m = svm.SVC(features=["x"], label="y", row_id="id").fit(df)
+    assert m.classes == [0, 1, 2] and abs(m.gamma - V.gamma_scale(df, ["x"])) < 1e-12
+    assert metrics.accuracy(m.transform(df), "y", "prediction").first()[0] == 1.0
+
+
+@pytest.mark.parametrize("kernel, coef0", [("rbf", 0.0), ("polynomial", 1.0), ("sigmoid", 0.0)])
+def test_kernel_machines_match_the_dual(spark, kernel, coef0):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 2)) / 2
+    y, sign = np.sin(2 * x[:, 0]) + 0.3 * rng.normal(size=150), np.where(x.sum(1) + 0.4 * rng.normal(size=150) > 0, 1.0, -1.0)
+    df = table(spark, [(i, *map(float, r), float(v), int(s < 0)) for i, (r, v, s) in enumerate(zip(x, y, sign))], "id long, a double, b double, y double, g int")
+    k = svm.kernel_matrix(kernel, x, x, 0.5, coef0, 3)
+    args = dict(features=["a", "b"], row_id="id", kernel=kernel, gamma=0.5, coef0=coef0, tol=1e-4)
+    tol = 1e-4 if kernel == "sigmoid" else 1e-6
+    a, b = svm.smo(k * np.outer(sign, sign), -np.ones(150), sign, 1.0, tol)
+    got = [r.decision[0] for r in svm.SVC(label="g", **args).fit(df).decisions(df).orderBy("id").collect()]
+    assert np.abs(k @ (a * sign) + b - got).max() < 1e-3
+    two = np.r_[np.ones(150), -np.ones(150)]
+    a, b = svm.smo(np.tile(k, (2, 2)) * np.outer(two, two), np.r_[0.1 - y, 0.1 + y], two, 1.0, tol)
+    got = [r.prediction for r in svm.SVR(label="y", **args).fit(df).transform(df).orderBy("id").collect()]
+    # the sigmoid kernel is indefinite: rounding leads to another of the stationary points
+    assert np.abs(k @ (a[:150] - a[150:]) + b - got).max() < (2e-2 if kernel == "sigmoid" else 1e-3)
