@@ -101,7 +101,9 @@ class KMeansModel(Model):
 
 
 class MiniBatchKMeans(KMeans):
-    """Batches by hash of row_id; a centre moves to (centre * count + sum) / (count + n). Centres of few rows restart at far ones."""
+    """Batches by hash of row_id; a centre moves to (centre * count + sum) / (count + n). Centres of few rows restart at far ones.
+
+    Each of the epochs, of which there are at most max_iter, goes through all batches."""
 
     defaults = {**KMeans.defaults, "batch_size": 1024, "n_init": 3, "epochs": 1, "reassign": 0.01}
 
@@ -135,9 +137,14 @@ class MiniBatchKMeans(KMeans):
         head.unpersist()
         model = KMeansModel(features=names, centres=centres, inertia=0.0, rounds=0, cluster=self.cluster, counts=[0.0] * self.k)
         batches = max(1, -(-n // self.batch_size))
-        for _ in range(self.epochs):
-            for b in range(min(batches, self.max_iter)):
-                model = self.update(model, df.where(F.pmod(F.xxhash64(F.lit(self.seed + 1), F.col(self.row_id)), F.lit(batches)) == b))
+        dealt = df.select(*names, F.pmod(F.xxhash64(F.lit(self.seed + 1), F.col(self.row_id)), F.lit(batches)).alias("_batch"))
+        held = dealt.sort("_batch").persist()  # sorted, so that the blocks of other batches are passed over
+        try:
+            for _ in range(min(self.epochs, self.max_iter)):
+                for b in range(batches):
+                    model = self.update(model, held.where(F.col("_batch") == b))
+        finally:
+            held.unpersist()
         return model
 
 

@@ -309,3 +309,11 @@ def test_kernel_machines_match_the_dual(spark, kernel, coef0):
     got = [r.prediction for r in svm.SVR(label="y", **args).fit(df).transform(df).orderBy("id").collect()]
     # the sigmoid kernel is indefinite: rounding leads to another of the stationary points
     assert np.abs(k @ (a[:150] - a[150:]) + b - got).max() < (2e-2 if kernel == "sigmoid" else 1e-3)
+
+
+def test_minibatch_kmeans_visits_all_batches(spark):
+    df = table(spark, [(i, i % 2 * 100.0 + i % 5) for i in range(40)], "id long, x double")
+    args = dict(features=["x"], k=2, init=[[0.0], [100.0]], row_id="id", batch_size=8)
+    m = cluster.MiniBatchKMeans(max_iter=1, **args).fit(df)
+    assert m.rounds == 5 and sum(m.counts) == 40 and np.allclose(m.centres, [[2.0], [102.0]])
+    assert cluster.MiniBatchKMeans(max_iter=2, epochs=3, **args).fit(df).rounds == 10
