@@ -4,7 +4,7 @@ contaminated ones go, personal data is redacted, and what is left is encoded.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
 docs. A null text is kept by every filter and encoded as no ids; an empty table passes
-through.
+through. Without labels of both classes to learn from nothing is toxic.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from loomstat.llm.common import shared_folder, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model gives less than 0.5; it learns from the labelled ones outside the held-out fold."""
-    model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    """Documents that the model gives less than 0.5 or that have no word; it learns from the labelled ones outside the held-out fold."""
+    labelled = toxicity.labelled_rows(docs, table(spark, sf_dir, "labels"))
+    if labelled.select("toxic").distinct().count() < 2:  # no model
+        return docs
     name = unused(docs, "toxic_score")
-    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).select(docs.columns)
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(toxicity.WORD)
+    return toxicity.score(docs, toxicity.fit(labelled), name).where((F.col(name) < 0.5) | wordless).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

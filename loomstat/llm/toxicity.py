@@ -27,6 +27,8 @@ from loomstat.llm.common import alphanumeric, fold_remainder, grams, mix, per_ro
 SAMPLE_ROWS = 12_000
 #: Hashed places: 2 ** BITS.
 BITS = 20
+#: What a text has a feature for: a character of a word.
+WORD = r"[A-Za-z0-9\u0080-\x{10FFFF}]"
 #: Lengths in bytes of the stems that stand beside a word.
 STEMS = (4, 5, 6)
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.1, 5

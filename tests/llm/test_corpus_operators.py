@@ -533,3 +533,25 @@ def test_pipeline_encodes_what_it_kept(spark):
     assert tuple(clean.first()) == (1, "mail <email> now", "en", "s", 16)
     row = corpus_pipeline.encode(spark, clean, SF).first()
     assert row.decoded_sha256 == hashlib.sha256(b"mail <email> now").hexdigest() and row.n_tokens == len(row.token_ids)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1), (2, 1), (3, 1)], [(1, 0), (2, 0)], [(77, 0), (78, 1)]], ids=["empty", "toxic", "clean", "unmatched"])
+def test_toxicity_stage_keeps_all_without_a_model(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bad words", "worse words", "fine", None, ""])], "doc_id long, text string")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 6
+
+
+def test_toxicity_stage_keeps_texts_without_words(spark, tmp_path):
+    import corpus_pipeline
+
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:200]
+    spark.createDataFrame([(i, int(k >= 20)) for k, i in enumerate(ids)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = [(i, "awful curse" if k >= 20 else "kind remark") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([*known, (1000, None), (1001, ""), (1002, "?! \n-"), (1003, "awful curse"), (1004, "kind remark")], "doc_id long, text string")
+    model = toxicity.fit(toxicity.labelled_rows(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    assert model[2] > 0
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).where("doc_id >= 1000").collect()}
+    assert kept == {1000, 1001, 1002, 1004}
