@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are split into pieces by the tokenizer's pattern; the distinct pieces of a block
-are arrays of bytes over which the ranked merges are folded, all pieces side by side:
-each round looks every neighbouring pair up in the rank map and merges, in each piece,
+Texts are split into pieces by the tokenizer's pattern; those pieces that a worker has
+not met yet are arrays of bytes over which the ranked merges are folded, all of a block
+side by side: each round looks every neighbouring pair up in the rank map and merges, in each piece,
 the pair of least rank (of equals, the leftmost). A piece that is itself in the map is
 its own id at once. Ids are then dealt out to the places where the pieces stand;
 decoding concatenates the binary pieces of the ids.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
 from loomstat.llm.common import table, text_slices, tidy, utf8, without
-from loomstat.llm.pieces import Pieces, gather
+from loomstat.llm.pieces import PieceTable, gather
 
 NO_RANK = 2**31 - 1
 #: Bytes of text whose distinct pieces are folded together.
@@ -71,6 +71,7 @@ class Merges:
         lengths[[ranks[t] for t in order]] = [len(t) for t in order]
         self.token_cut = np.r_[0, np.cumsum(lengths)]
         self.token_bytes = np.frombuffer(b"".join(order), np.uint8)
+        self.pieces = PieceTable(self.fold)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
@@ -129,10 +130,7 @@ class Merges:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of rows of text one after another, and where each row's begin (one more at the end)."""
-        pieces = Pieces(raw, offsets)
-        ids, cut = self.fold(pieces.texts())
-        all_ids, begin = gather(ids, cut, pieces.which)
-        return all_ids, begin[pieces.row_cut]
+        return self.pieces.encode(raw, offsets)
 
     def decode(self, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of rows of ids one after another, and where each row's begin."""

@@ -1,4 +1,4 @@
-"""Vectorised splitting of texts into the pieces of the byte-level BPE pattern, and distinct pieces.
+"""Vectorised splitting of texts into the pieces of the byte-level BPE pattern, and a table of known pieces.
 
 The pattern is
 
@@ -13,11 +13,11 @@ space is taken in before it, makes a piece with them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import regex
 
-from loomstat.llm.common import span_hashes
-
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Unicode's White_Space.
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -80,35 +80,137 @@ def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[start]
 
 
-class Pieces:
-    """Distinct pieces of a batch: `which` gives for each piece in order its number among `texts`."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+def safe_cuts(raw: np.ndarray, limit: int) -> list[int]:
+    """Offsets that cut a long text into parts of about limit bytes, each at a space between ASCII letters, where a piece starts in any case."""
+    if len(raw) <= 2 * limit:
+        return [0, len(raw)]
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = True
+    places = np.flatnonzero((raw[1:-1] == 0x20) & letter[raw[:-2]] & letter[raw[2:]]) + 1
+    cuts = [0]
+    while len(raw) - cuts[-1] > limit and (i := int(np.searchsorted(places, cuts[-1] + limit))) < len(places):
+        cuts.append(int(places[i]))
+    return [*cuts, len(raw)]
+
+
+#: Longest piece, in bytes, that two 64-bit words hold whole, with its length.
+SHORT = 15
+_BITS = 21
+_HEAD = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(SHORT + 1)], np.uint64)
+_TAIL = np.array([(1 << 8 * max(k - 8, 0)) - 1 for k in range(SHORT + 1)], np.uint64)
+
+
+class PieceTable:
+    """Ids of pieces, asked for once for each distinct piece and kept.
+
+    Pieces are told apart by their bytes: up to SHORT bytes stand whole in two words, which a
+    hash only places in the table; longer ones are keys of a dict. Past MOST pieces, or
+    MOST_BYTES of long ones, the table starts afresh, so its size is bounded."""
+
+    MOST, MOST_BYTES, CHUNK, SEGMENT = 1_000_000, 16 << 20, 1 << 19, 2 << 20
+
+    def __init__(self, ids_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.ids_of = ids_of
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.zeros(1 << _BITS, np.int32)  # 0: free
+        self.head, self.tail = np.zeros(1 << 12, np.uint64), np.full(1 << 12, 1 << 63, np.uint64)
+        self.cut, self.ids = np.zeros((1 << 12) + 1, np.int64), np.zeros(1 << 13, np.int32)
+        self.n, self.n_ids = 1, 0  # number 0 stands for no piece
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def _add(self, texts: list[bytes], head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Numbers of new distinct pieces."""
+        ids, cut = self.ids_of(texts)
+        n, m = self.n + len(texts), self.n_ids + len(ids)
+        if n > len(self.head):
+            more = max(n, 2 * len(self.head)) - len(self.head)
+            self.head, self.tail, self.cut = np.r_[self.head, np.zeros(more, np.uint64)], np.r_[self.tail, np.zeros(more, np.uint64)], np.r_[self.cut, np.zeros(more, np.int64)]
+        if m > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(max(m, 2 * len(self.ids)) - len(self.ids), np.int32)]
+        self.head[self.n : n], self.tail[self.n : n] = head, tail
+        self.cut[self.n + 1 : n + 1] = self.n_ids + cut[1:]
+        self.ids[self.n_ids : m] = ids
+        numbers = np.arange(self.n, n, dtype=np.int32)
+        self.n, self.n_ids = n, m
+        return numbers
+
+    def _numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        which = np.zeros(len(starts), np.int32)
+        size = ends - starts
+        long = np.flatnonzero(size > SHORT)
+        if len(long):
+            texts = [raw[a:b].tobytes() for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            new = [t for t in dict.fromkeys(texts) if t not in self.long]
+            if new:
+                none = np.zeros(len(new), np.uint64)
+                self.long.update(zip(new, self._add(new, none, none + np.uint64(1 << 63)).tolist()))
+                self.long_bytes += sum(map(len, new))
+            which[long] = [self.long[t] for t in texts]
+        own = np.flatnonzero(size <= SHORT) if len(long) else np.arange(len(size))
+        if not len(own):
+            return which
+        a, size = starts[own], size[own]
+        # unaligned words; the caller pads raw
+        words = np.ndarray(len(raw) - 7, np.dtype("<u8"), buffer=raw, strides=(1,))
+        head, tail = words[a] & _HEAD[size], words[a + 8] & _TAIL[size]
+        tail |= size.astype(np.uint64) << np.uint64(56)
+        slot = head * np.uint64(0x9E3779B97F4A7C15) ^ tail * np.uint64(0xC2B2AE3D27D4EB4F)
+        slot = ((slot ^ slot >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _BITS)).astype(np.int64)
+        missing, open_ = [], np.arange(len(own))
+        found = np.zeros(len(own), np.int32)
+        while len(open_):
+            at = slot[open_]
+            number = self.slots[at]
+            same = (self.head[number] == head[open_]) & (self.tail[number] == tail[open_])
+            found[open_[same]] = number[same]
+            missing.append(open_[number == 0])
+            open_ = open_[~same & (number != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << _BITS) - 1)
+        missing = np.concatenate(missing)
+        if len(missing):
+            order = missing[np.lexsort((tail[missing], head[missing]))]
+            first = np.r_[True, (head[order[1:]] != head[order[:-1]]) | (tail[order[1:]] != tail[order[:-1]])]
+            new = order[first]
+            whole = raw.tobytes()
+            numbers = self._add([whole[x : x + k] for x, k in zip(a[new].tolist(), size[new].tolist())], head[new], tail[new])
+            found[order] = numbers[np.cumsum(first) - 1]
+            slot, todo = slot[new], np.arange(len(new))
+            while len(todo):
+                free = self.slots[slot[todo]] == 0
+                self.slots[slot[todo[free]]] = numbers[todo[free]]
+                todo = todo[self.slots[slot[todo]] != numbers[todo]]
+                slot[todo] = (slot[todo] + 1) & ((1 << _BITS) - 1)
+        which[own] = found
+        return which
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 rows one after another, and where each row's begin (one more at the end)."""
+        if len(offsets) == 2 and len(cuts := safe_cuts(raw, self.SEGMENT)) > 2:  # a very long text, part by part
+            parts = [self.encode(raw[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:])]
+            ids = np.concatenate(parts)
+            return ids, np.array([0, len(ids)])
         starts = piece_starts(raw, offsets)
         ends = np.r_[starts[1:], len(raw)] if len(starts) else starts
-        self.row_cut = np.searchsorted(starts, offsets)
-        value = _VALUES
-        h = span_hashes(raw, starts, ends, value[0], base=0x9E3779B97F4A7C15)
-        g = span_hashes(raw, starts, ends, value[1], base=0xC2B2AE3D27D4EB4F)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(h) and not np.array_equal(g, g[first][which]):  # two pieces of equal hash: by their bytes
-            known: dict[bytes, int] = {}
-            whole = raw.tobytes()
-            which = np.array([known.setdefault(whole[a:b], len(known)) for a, b in zip(starts, ends)], np.int64)
-            first = np.unique(which, return_index=True)[1]
-        self.which, self.starts, self.ends, self.raw = which, starts[first], ends[first], raw
-
-    def texts(self) -> list[bytes]:
-        whole = self.raw.tobytes()
-        return [whole[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())]
-
-
-_VALUES = np.random.default_rng(31).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+        padded = np.r_[raw, np.zeros(16, np.uint8)]
+        ids, counts = [np.zeros(0, np.int32)], []
+        for i in range(0, len(starts), self.CHUNK):
+            if self.n > self.MOST or self.long_bytes > self.MOST_BYTES:
+                self.clear()
+            which = self._numbers(padded, starts[i : i + self.CHUNK], ends[i : i + self.CHUNK])
+            found, begin = gather(self.ids, self.cut, which)
+            ids.append(found)
+            counts.append(np.diff(begin))
+        begin = np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, np.int64)
+        return np.concatenate(ids), begin[np.searchsorted(starts, offsets)]
 
 
 def gather(values: np.ndarray, cut: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate values[cut[k]:cut[k+1]] for k in which; also where each begins (one more at the end)."""
-    lengths = np.diff(cut)[which]
+    from_ = cut[which]
+    lengths = cut[which + 1] - from_
     begin = np.r_[0, np.cumsum(lengths)]
-    at = np.arange(begin[-1]) + np.repeat(cut[which] - begin[:-1], lengths)
+    at = np.arange(begin[-1]) + np.repeat(from_ - begin[:-1], lengths)
     return values[at], begin

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -274,10 +275,18 @@ def test_bpe_against_tiktoken(tiktoken_encoding, texts):
         assert raw[at[i] : at[i + 1]].tobytes() == t.encode()
 
 
-def test_pieces_with_equal_hashes(monkeypatch):
-    monkeypatch.setattr(pieces, "span_hashes", lambda raw, s, e, value, base: np.zeros(len(s), np.uint64) if base == 0x9E3779B97F4A7C15 else span_hashes(raw, s, e, value, base))
-    p = pieces.Pieces(*utf8(pa.array(["one two one"])))
-    assert [p.texts()[k] for k in p.which] == [b"one", b" two", b" one"]
+def test_pieces_are_told_apart_by_their_bytes(tiktoken_encoding, monkeypatch):
+    """Words whose polynomial hashes modulo 2 ** 64 are equal, whatever the base; a table that starts afresh; a long text in parts."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [word, other, f"{word} {other} x", "one two one", "", "exactly15bytes_ exactly16bytes__ é" * 3]
+    monkeypatch.setattr(pieces.PieceTable, "MOST", 3)
+    monkeypatch.setattr(pieces.PieceTable, "CHUNK", 2)
+    monkeypatch.setattr(pieces.PieceTable, "SEGMENT", 700)
+    m = bpe.Merges(bpe.public_ranks())
+    for batch in (rows, [" ".join(rows) + " and so on" * 300]):
+        ids, cut = m.encode(*utf8(pa.array(batch)))
+        assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [tiktoken_encoding.encode_ordinary(t) for t in batch]
 
 
 def test_fold_by_higher_order_functions(spark, tiktoken_encoding):
@@ -299,27 +308,122 @@ def test_bpe_odd_tables(odd, empty):
 # --- 6 coder ---
 
 
-@pytest.mark.parametrize("ids", [[], [5], [65535] * 9, list(range(0, 65536, 7)), [1, 2, 3] * 5000], ids=["none", "one", "top", "spread", "cycle"])
+TOP = coder.MOST_IDS - 1
+
+
+@pytest.mark.parametrize("ids", [[], [5], [65535] * 9, [70_000, 3, TOP], [TOP, 0] * 3000, list(range(0, 65536, 7)), [1, 2, 3] * 5000], ids=["none", "one", "same", "wide", "widest", "spread", "cycle"])
 def test_coder_round_trip(ids):
     ids = np.array(ids, np.int64)
     payload = coder.pack([3, None], [len(ids), 0], ids)
-    docs, counts, back = coder.unpack(payload)
-    assert docs == [3, None] and counts == [len(ids), 0] and np.array_equal(back, ids)
+    header, back = coder.unpack(payload)
+    assert header["docs"] == [3, None] and header["counts"] == [len(ids), 0] and np.array_equal(back, ids)
+
+
+def test_coder_round_trip_of_mixed_texts():
+    """Blocks of many kinds side by side: every branch of the mixture, in step on both sides."""
+    rng = np.random.default_rng(3)
+    for seed in range(6):
+        n = int(rng.integers(1, 9_000))
+        ids = np.where(rng.random(n) < 0.5, rng.integers(0, 20, n), rng.zipf(1.3, n) % (1 << int(rng.integers(8, 20))))
+        header, back = coder.unpack(coder.pack([seed], [n], ids))
+        assert np.array_equal(back, ids)
+
+
+def plain_model(ids):
+    """The mixture of one block, id by id: bounds (start, end) of what each id is coded as, of 2 ** 20."""
+    slots, share, hits, out = [{}, {}], [300, 300], [0, 0], []
+    seen, known, bits, distinct = [], 0, 0, 0
+    last, back = 0, 0
+    for t, x in enumerate(ids):
+        if t >= coder.FIRST and t & (t - 1) == 0:
+            now = len(set(ids[:t]))
+            known = 1024 - min(980, (now - distinct) * 1300 // (t // 2 if bits else t) + 20)
+            seen, bits, distinct = sorted(ids[:t]), t.bit_length() - 1, now
+        at = [(back + last) % coder.SLOTS if t else 0, last % coder.SLOTS if t else 0]
+        (a, n), (b, m) = (slots[k].get(at[k], (coder.MOST_IDS, 0)) for k in (0, 1))
+        two = (1000 * n // (n + 1) + 23 if n else 0) * share[0] + 1
+        one = ((1000 * m // (m + 1) + 23 if m else 0) * share[1] + 1 >> 10) * ((1 << 20) - two >> 10) + 1
+        if a == b:
+            two, one = two + one, 0
+        unit = ((1 << 20) - two - one) * known >> 10 + bits if bits else 0
+        if x == a:
+            out.append((0, two))
+        elif x == b:
+            out.append((two, two + one))
+        elif (c := seen.count(x)) and unit:
+            start = two + one + sum(y < x for y in seen) * unit
+            out.append((start, start + c * unit))
+        else:
+            out.append((two + one + (unit << bits), 1 << 20))
+        for k, (own, count) in enumerate(((a, n), (b, m))):
+            hits[k] += own == x
+            slots[k][at[k]] = (own, min(count + 1, 63)) if own == x else (own, count - (count >> 1)) if count > 1 else (x, 1)
+        if t % coder.WINDOW == coder.WINDOW - 1:
+            share = [min(1000, max(16, s + (min(h * (1500 // coder.WINDOW), 1000) - s >> 1))) for s, h in zip(share, hits)]
+            hits = [0, 0]
+        back, last = last * 40503 >> 3, x
+    return out
+
+
+def test_coder_against_a_plain_model():
+    """One block's bytes are what a range coder with big integers writes from the plain model."""
+    rng = np.random.default_rng(5)
+    ids = [int(i) for i in np.where(rng.random(700) < 0.4, rng.integers(0, 9, 700), rng.integers(0, 3000, 700))]
+    rare = coder._rare(1 << 12).tolist()
+    low, width, words = 0, (1 << 48) - 1, 0
+    for x, (start, end) in zip(ids, plain_model(ids)):
+        steps = [(start, end, coder.TOTAL_BITS)] + ([(rare[x], rare[x + 1], coder.RARE_BITS)] if end == 1 << 20 else [])
+        for a, b, bits in steps:
+            r = width >> bits
+            low, width = low + a * r, (b - a) * r
+            if width < 1 << 32:
+                low, width, words = low << 16, width << 16, words + 1
+    blocks, _, size = coder.compress(np.array(ids))
+    assert size == 1 << 12 and blocks[0] == low.to_bytes(2 * (words + 3), "big")
 
 
 def test_coder_finds_damage():
-    payload = bytearray(coder.pack([1], [3000], np.arange(3000)))
-    payload[-40] ^= 1
-    with pytest.raises(ValueError):
-        coder.unpack(bytes(payload))
-    with pytest.raises(ValueError):
-        coder.compress(np.array([70000]))
+    """In every place; what fills up the last block holds no ids."""
+    payload = bytearray(coder.pack([1], [4096], np.arange(4096)))
+    for at in range(3, len(payload) - 8, 401):
+        bad = payload.copy()
+        bad[at] ^= 64
+        with pytest.raises((ValueError, struct.error)):
+            coder.unpack(bytes(bad))
+    for wrong in (coder.MOST_IDS, -1):
+        with pytest.raises(ValueError):
+            coder.compress(np.array([wrong]))
+
+
+def test_wide_end_id_is_refused_and_kept(spark, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    coder.write(docs, path, str(tmp_path / "wide"), end_id=70_000)
+    assert coder.unpack(spark.read.parquet(str(tmp_path / "wide")).first().payload)[1].tolist()[-1] == 70_000
+    with pytest.raises(Exception, match="ids must be from 0"):
+        coder.write(docs, path, str(tmp_path / "wider"), end_id=coder.MOST_IDS)
+
+
+def test_documents_over_several_payloads(spark, texts, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, t) for i, t in texts[:20]] + [(-1, "long text " * 9000), (-1, None), (None, "x")], "doc_id long, text string")
+    coder.write(docs, path, str(tmp_path / "whole"))
+    monkeypatch.setattr(coder, "LANES", 2)
+    coder.write(docs, path, str(tmp_path / "cut"))
+    seqs = spark.read.parquet(str(tmp_path / "cut")).agg(F.max("n_ids"), F.max("seq")).first()
+    assert seqs[0] == 2 * coder.BLOCK_IDS and seqs[1] > 2
+    read = lambda name: sorted(map(tuple, coder.read_documents(spark, str(tmp_path / name)).collect()), key=lambda r: r[1])
+    assert read("cut") == read("whole")
 
 
 def test_coder_predicts():
     rng = np.random.default_rng(0)
     phrase = rng.integers(0, 50000, 20)
-    blocks, _ = coder.compress(np.tile(phrase, 400))
+    blocks, _, _ = coder.compress(np.tile(phrase, 400))
     assert sum(map(len, blocks)) < 8000 / 4  # repeated contexts cost under two bits an id
 
 
