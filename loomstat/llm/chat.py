@@ -9,8 +9,10 @@ path is written as one conversation.
 
 Null texts and roles count as empty. Rows of equal turn are ordered by role,
 then text. A parent that is not in the tree makes its child a root. Nodes on a
-cycle reach no root and are not part of any path. An empty table gives an empty
-result; other columns are ignored.
+cycle reach no root and are not part of any path: a chain of n nodes is walked in
+log2(n) rounds, and what is left then is a cycle. An empty table gives an empty
+result; other columns are ignored. A conversation of any length is one row, and its
+turns meet in one task.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 from loomstat.llm.common import checkpoint, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Doubling rounds after which what is left must be a cycle.
-MOST_ROUNDS = 63
 
 
 def escape(text: Column) -> Column:
@@ -59,7 +59,7 @@ def runs(nodes: DataFrame) -> DataFrame:
     )
     state = checkpoint(state)
     done, open_ = state.where("link is null"), state.where("link is not null")
-    for _ in range(MOST_ROUNDS):  # only nodes whose head is not yet found move on
+    for _ in range(open_.count().bit_length()):  # only nodes whose head is not yet found move on
         if open_.isEmpty():
             break
         far = done.unionByName(open_).select("tree", F.col("node").alias("link"), F.col("link").alias("next"), F.col("head").alias("far_head"), F.col("place").alias("far_place"))
@@ -98,18 +98,13 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree, branch, formatted, loss_spans (code points, end exclusive: the assistants' texts as written)."""
     said = nodes.select("tree", "node", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
-    turns = paths(nodes, branches).join(said, ["tree", "node"]).groupBy("tree", "branch").agg(
-        F.array_sort(F.collect_list(F.struct("position", "role", "text"))).alias("turns"))
+    whole = Window.partitionBy("tree", "branch").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length("role") + F.length("text") + (len(START) + len(END) + 2)).over(whole), F.lit(0)) + F.length("role") + len(START) + 1
+    placed = paths(nodes, branches).join(said, ["tree", "node"]).withColumn("start", begin.cast("long"))
+    turns = placed.groupBy("tree", "branch").agg(F.array_sort(F.collect_list(F.struct("position", "role", "text", "start"))).alias("turns"))
     written = F.transform("turns", lambda t: F.concat(F.lit(START), t.role, F.lit("\n"), t.text, F.lit(END + "\n")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def walk(state, turn):
-        begin = state.at + F.length(turn.role) + len(START) + 1
-        end = begin + F.length(turn.text)
-        spans = F.when(turn.role == "assistant", F.concat(state.spans, F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(state.spans)
-        return F.struct((end + len(END) + 1).alias("at"), spans.alias("spans"))
-
-    return turns.select("tree", "branch", F.array_join(written, "").alias("formatted"), F.aggregate("turns", empty, walk).spans.alias("loss_spans"))
+    spans = F.transform(F.filter("turns", lambda t: t.role == "assistant"), lambda t: F.struct(t.start.alias("start"), (t.start + F.length(t.text)).alias("end")))
+    return turns.select("tree", "branch", F.array_join(written, "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def conversation_nodes(rows: DataFrame) -> DataFrame:
