@@ -5,23 +5,27 @@ without overlap, of which those failing the kind's test are dropped. The field
 looks at stretches of chunks that hold a digit or an @: each stretch is cut into
 tokens, every run of at most MOST_TOKENS tokens is a candidate segment with features
 of the whole span (shape, digits, checksum, octets, borders, cue word before it),
-and dynamic programming picks the boundaries and types of the best segmentation
-jointly. Its spans are added where they meet no base span; besides the base kinds
+pairs of the last entity's type and the next one's have weights, and dynamic programming
+over positions and last types picks the boundaries and types of the best segmentation
+jointly. Entities have at most MOST_TOKENS tokens and MOST_CHARS characters; windows,
+texts and the number of entities have no bound. Its spans are added where they meet no base span; besides the base kinds
 it knows `secret` (keys and tokens). It is trained by maximum likelihood
 (forward-backward over segmentations) on sentences made by examples().
 
 Null and empty texts have no spans. Positions are code points, end exclusive. Every
-row is kept, repeated ones too; extra columns stay, but for
-those whose names the result needs.
+row is kept, repeated ones and those of a null doc_id too; extra columns stay, but for
+those whose names the result needs. Texts of any length are read whole, in time in
+proportion to their length.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
-import math
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,74 +167,100 @@ def _border(text: str, at: int) -> str:
     return "^" if not c else "w" if c.isalnum() else "s" if c.isspace() else c
 
 
-def lattice(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.ndarray]]]:
-    """Tokens of a window and its candidate segments (first token, one past the last, feature places)."""
+def lattice(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], Iterator[tuple[int, int, tuple[str, ...]]]]:
+    """Tokens of a window, and one after another its candidate segments (first token, one past the last, features)."""
     tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
     found = _CUE.search(text, max(0, start - 24), start)
     cue = found[1].lower() if found and found[1].lower() in CUES else ""
-    segments = []
-    for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "+("):
-            continue
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
-            b = tokens[j - 1][1]
-            if b - a > MOST_CHARS:
-                break
-            if text[b - 1].isalnum() and _HOT.search(text, a, b):
-                names = _buckets(text[a:b], _border(text, a - 1), _border(text, b), cue, j - i)
-                segments.append((i, j, _places(tuple(names))))
-    return tokens, segments
-
-
-def _scores(segments, weights: np.ndarray) -> np.ndarray:
-    """Score of each segment as each kind."""
-    return np.array([weights[f].sum(0) for _, _, f in segments]).reshape(-1, len(KINDS))
-
-
-def best(n_tokens: int, segments, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """Segments (first, past, kind) of the best segmentation; a token outside of any scores 0."""
-    score = _scores(segments, weights)
-    ends: dict[int, list[int]] = {}
-    for k, (_, j, _) in enumerate(segments):
-        ends.setdefault(j, []).append(k)
-    top, via = [0.0] * (n_tokens + 1), [None] * (n_tokens + 1)
-    for j in range(1, n_tokens + 1):
-        top[j] = top[j - 1]
-        for k in ends.get(j, ()):
-            kind = int(score[k].argmax())
-            if (s := top[segments[k][0]] + score[k][kind]) > top[j]:
-                top[j], via[j] = s, (k, kind)
-    out, j = [], n_tokens
+
+    def segments():
+        for i, (a, _) in enumerate(tokens):
+            if not (text[a].isalnum() or text[a] in "+("):
+                continue
+            for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
+                b = tokens[j - 1][1]
+                if b - a > MOST_CHARS:
+                    break
+                if text[b - 1].isalnum() and _HOT.search(text, a, b):
+                    names = _buckets(text[a:b], _border(text, a - 1), _border(text, b), cue, j - i)
+                    yield i, j, tuple(names)
+
+    return tokens, segments()
+
+
+STATES = len(KINDS) + 1
+
+
+class Field:
+    """Weights of features (places x kinds) and of pairs (last kind or none x kind)."""
+
+    def __init__(self, own: np.ndarray, pair: np.ndarray):
+        self.own, self.pair = own, pair
+        self.score = functools.lru_cache(1 << 15)(lambda features: own[_places(features)].sum(0))
+
+    def __reduce__(self):
+        return Field, (self.own, self.pair)
+
+
+def best(n_tokens: int, segments, field: Field) -> list[tuple[int, int, int]]:
+    """Segments (first, past, kind) of the best segmentation; segments come by ascending first token.
+
+    A state is the kind of the last entity (0: none yet); a token outside of any entity scores 0 and
+    keeps it, an entity scores its features as its kind and the pair of the last kind and its own."""
+    top = np.full((n_tokens + 1, STATES), -np.inf)
+    top[0, 0] = 0.0
+    came, left = np.full((n_tokens + 1, STATES), -1, np.int32), np.zeros((n_tokens + 1, STATES), np.int8)
+    at, step = -1, None
+    for i, j, features in segments:
+        while at < i:  # no segment ends there any more
+            at += 1
+            if at:
+                stay = top[at - 1] >= top[at]
+                top[at][stay], came[at][stay] = top[at - 1][stay], -1
+            step = top[at][:, None] + field.pair
+            last, step = step.argmax(0), step.max(0)
+        total = step + field.score(features)
+        for kind in np.flatnonzero(total > top[j, 1:]):
+            top[j, kind + 1], came[j, kind + 1], left[j, kind + 1] = total[kind], i, last[kind]
+    while at < n_tokens:
+        at += 1
+        if at:
+            stay = top[at - 1] >= top[at]
+            top[at][stay], came[at][stay] = top[at - 1][stay], -1
+    out, j, state = [], n_tokens, int(top[n_tokens].argmax())
     while j > 0:
-        if via[j] is None:
+        i = int(came[j, state])
+        if i < 0:
             j -= 1
         else:
-            k, kind = via[j]
-            out.append((segments[k][0], segments[k][1], kind))
-            j = segments[k][0]
+            out.append((i, j, state - 1))
+            j, state = i, int(left[j, state])
     return out[::-1]
 
 
-def _posterior(n: int, segments, score: np.ndarray) -> np.ndarray:
-    """Probability of each segment as each kind, over all segmentations (forward-backward in logs)."""
-    add = np.logaddexp
-    flat = np.logaddexp.reduce(score, axis=1) if len(segments) else np.zeros(0)
-    ends: dict[int, list[int]] = {}
-    begins: dict[int, list[int]] = {}
-    for k, (i, j, _) in enumerate(segments):
-        ends.setdefault(j, []).append(k)
-        begins.setdefault(i, []).append(k)
-    ahead, back = [0.0] * (n + 1), [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        ahead[j] = ahead[j - 1]
-        for k in ends.get(j, ()):
-            ahead[j] = add(ahead[j], ahead[segments[k][0]] + flat[k])
-    for i in range(n - 1, -1, -1):
-        back[i] = back[i + 1]
-        for k in begins.get(i, ()):
-            back[i] = add(back[i], back[segments[k][1]] + flat[k])
-    base = np.array([ahead[i] + back[j] - ahead[n] for i, j, _ in segments])
-    return np.exp(score + base[:, None])
+def _sum_logs(x: np.ndarray, axis: int) -> np.ndarray:
+    most = np.maximum(x.max(axis, keepdims=True), -1e300)
+    return np.log(np.exp(x - most).sum(axis)) + np.squeeze(most, axis)
+
+
+def _posterior(n: int, segments, own: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Probability of each segment after each state as each kind, over all segmentations (forward-backward in logs)."""
+    score = np.array([own[f].sum(0) for _, _, f in segments])
+    begin, end = np.array([(i, j) for i, j, _ in segments]).T
+    ahead, back = np.full((n + 1, STATES), -np.inf), np.zeros((n + 1, STATES))
+    ahead[0, 0] = 0.0
+    with np.errstate(divide="ignore"):
+        for j in range(1, n + 1):
+            ahead[j] = ahead[j - 1]
+            if len(here := np.flatnonzero(end == j)):
+                add = _sum_logs(_sum_logs(ahead[begin[here]][:, :, None] + pair, 1) + score[here], 0)
+                ahead[j, 1:] = np.logaddexp(ahead[j, 1:], add)
+        for i in range(n - 1, -1, -1):
+            back[i] = back[i + 1]
+            if len(here := np.flatnonzero(begin == i)):
+                back[i] = np.logaddexp(back[i], _sum_logs(_sum_logs((score[here] + back[end[here], 1:])[:, None, :] + pair, 2), 0))
+        whole = _sum_logs(ahead[n], 0)
+    return np.exp(ahead[begin][:, :, None] + pair + (score + back[end, 1:])[:, None, :] - whole)
 
 
 def examples(count: int = 360, seed: int = 3) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -269,7 +299,14 @@ def examples(count: int = 360, seed: int = 3) -> list[tuple[str, list[tuple[str,
                     text += rng.choice(("token", "key", "secret")) + rng.choice((' = "', ": ", "="))
                 what = makers[kind]()
                 marks.append((kind, len(text), len(text) + len(what)))
-                text += what + rng.choice(("", "", '"', ".", ","))
+                text += what
+                while rng.random() < 0.25:  # lists, mostly of one kind
+                    kind = kind if rng.random() < 0.6 else rng.choice(KINDS)
+                    text += rng.choice((", ", "; ", " "))
+                    what = makers[kind]()
+                    marks.append((kind, len(text), len(text) + len(what)))
+                    text += what
+                text += rng.choice(("", "", '"', ".", ","))
             else:
                 text += rng.choice((" ", f" {word()} ")) + rng.choice(plain)() + rng.choice(("", "", ".", ","))
             text += rng.choice((" ", f" {word()} {word()}"))
@@ -278,45 +315,63 @@ def examples(count: int = 360, seed: int = 3) -> list[tuple[str, list[tuple[str,
 
 
 @functools.lru_cache(1)
-def train(epochs: int = 8, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
-    """Weights (feature places x kinds) of greatest likelihood on the examples, by AdaGrad."""
+def train(epochs: int = 6, rate: float = 0.5, decay: float = 1e-4) -> Field:
+    """The field of greatest likelihood on the examples, by AdaGrad."""
     data = []
     for text, marks in examples():
         for start, end in windows(text):
             tokens, segments = lattice(text, start, end)
-            truth = np.zeros((len(segments), len(KINDS)))
-            for k, (i, j, _) in enumerate(segments):
+            segments = [(i, j, _places(names)) for i, j, names in segments]
+            truth, state = np.zeros((len(segments), STATES, len(KINDS))), 0
+            for k, (i, j, _) in enumerate(segments):  # marks do not overlap and ascend as segments do
                 for kind, a, b in marks:
                     if (tokens[i][0], tokens[j - 1][1]) == (a, b):
-                        truth[k, KINDS.index(kind)] = 1
+                        truth[k, state, KINDS.index(kind)] = 1
+                        state = KINDS.index(kind) + 1
             if segments:
                 data.append((len(tokens), segments, truth))
-    weights, seen = np.zeros((_DIMS, len(KINDS))), np.full((_DIMS, len(KINDS)), 1e-6)
+    own, pair = np.zeros((_DIMS, len(KINDS))), np.zeros((STATES, len(KINDS)))
+    seen, seen_pair = np.full_like(own, 1e-6), np.full_like(pair, 1e-6)
     for _ in range(epochs):
         for n, segments, truth in data:
-            off = _posterior(n, segments, _scores(segments, weights)) - truth
+            off = _posterior(n, segments, own, pair) - truth
             lengths = [len(f) for _, _, f in segments]
-            at = np.concatenate([f for _, _, f in segments])
-            grad = np.zeros_like(weights)
-            np.add.at(grad, at, np.repeat(off, lengths, axis=0))
-            rows = np.unique(at)
-            g = grad[rows] + decay * weights[rows]
+            rows, at = np.unique(np.concatenate([f for _, _, f in segments]), return_inverse=True)
+            g = decay * own[rows]
+            np.add.at(g, at, np.repeat(off.sum(1), lengths, axis=0))
             seen[rows] += g * g
-            weights[rows] -= rate * g / np.sqrt(seen[rows])
-    return weights
+            own[rows] -= rate * g / np.sqrt(seen[rows])
+            g = off.sum(0) + decay * pair
+            seen_pair += g * g
+            pair -= rate * g / np.sqrt(seen_pair)
+    return Field(own, pair)
+
+
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover; both ascend."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray) -> list[tuple[str, int, int]]:
+def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     """Spans of the field that meet no base span."""
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = _merged(base)
     out = []
     for start, end in windows(text):
-        if any(a <= start and end <= b for a, b in taken):
+        k = bisect.bisect_right(ends, start)  # the first stretch that ends past it
+        if k < len(starts) and starts[k] <= start and end <= ends[k]:
             continue
         tokens, segments = lattice(text, start, end)
-        for i, j, kind in best(len(tokens), segments, weights):
+        for i, j, kind in best(len(tokens), segments, field):
             a, b = tokens[i][0], tokens[j - 1][1]
-            if not any(a < y and x < b for x, y in taken):
+            k = bisect.bisect_right(ends, a)
+            if k == len(starts) or starts[k] >= b:
                 out.append((KINDS[kind], a, b))
     return out
 
@@ -348,7 +403,7 @@ def find(docs: DataFrame) -> DataFrame:
     extra = StructType.fromDDL(f"pii_base {span}, pii_spans {span}, pii_redacted string")
 
     def run(batches):
-        weights = shared.value
+        field = shared.value
         as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for batch in batches:
             found, every, clean = [], [], []
@@ -356,7 +411,7 @@ def find(docs: DataFrame) -> DataFrame:
                 base = base_spans(text) if text else []
                 spans = base
                 if text and _HOT.search(text):
-                    spans = _ordered(base + added_spans(text, base, weights))
+                    spans = _ordered(base + added_spans(text, base, field))
                 found.append(as_rows(base))
                 every.append(as_rows(spans))
                 clean.append(redact(text, spans) if spans else text)
@@ -370,13 +425,13 @@ def redact_text(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train())
 
     def run(batches):
-        weights = shared.value
+        field = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, text in enumerate(texts):
                 if text and _HOT.search(text):
                     base = base_spans(text)
-                    if spans := base + added_spans(text, base, weights):
+                    if spans := base + added_spans(text, base, field):
                         texts[i] = redact(text, spans)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
 
@@ -384,6 +439,7 @@ def redact_text(docs: DataFrame) -> DataFrame:
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of base spans, and all spans; an added entity has at most MOST_TOKENS tokens and MOST_CHARS characters."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     count = lambda k: F.size(F.filter("pii_base", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
