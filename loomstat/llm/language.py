@@ -9,7 +9,9 @@ kept out to fit the temperature. Every text is scored in full.
 
 A null text, or one without a letter, is `und` with score 0; so is every text if
 there was no row to learn from. Null lang is not learned from. Ties go to the
-language that sorts first. Columns lang_pred and score are replaced, others kept.
+language that sorts first. Columns lang_pred and score are replaced, others kept. Rows
+of one doc_id are learned from each with its own text and language, equal rows once. A
+null doc_id is not held out, and not learned from. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     low = np.where(points < _PLANE, _LETTERS[0][np.minimum(points, _PLANE - 1)], points)
     has = np.bincount(rows[low > 0], minlength=len(offsets) - 1) > 0
-    keep = (low > 0) | np.r_[True, low[:-1] > 0] if len(low) else low > 0  # one space stands for a run
+    keep = (low > 0) | np.r_[True, (low[:-1] > 0) | (rows[1:] != rows[:-1])] if len(low) else low > 0  # one space stands for a run
     low, rows = low[keep].astype(np.uint64), rows[keep]
     found = [grams(low, rows, n) for n in SIZES]
     places = np.concatenate([h for h, _, _ in found]) >> np.uint64(64 - BITS)
@@ -114,16 +116,16 @@ def learn(examples: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int) ->
     return w, bias, temperature
 
 
-def sample(rows: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def sample(docs: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
+    """At most so many of (doc_id, text, lang), those of least hash of doc_id; drawn from keys, so that only the sample's texts move."""
+    keyed = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("_text"))
+    keys = ["doc_id", "lang", "_text"]
+    chosen = keyed.select(*keys).orderBy(F.xxhash64("doc_id"), *keys).limit(most)
+    return keyed.join(F.broadcast(chosen), keys, "left_semi").dropDuplicates(keys).select("doc_id", "text", "lang")
 
 
 def fit(labelled: DataFrame) -> dict | None:
-    """Model from a bounded table (doc_id, text, lang); one task sees it. None without rows."""
-    langs = sorted(r.lang for r in labelled.select("lang").distinct().collect())
-    if not langs:
-        return None
-
+    """Model from a bounded table (doc_id, text, lang); one task sees it. None without a text with letters."""
     def train(batches):
         got = []
         for part in text_slices(batches):
@@ -131,13 +133,19 @@ def fit(labelled: DataFrame) -> dict | None:
             places, rows, has = features(raw, offsets)
             for key, lang, ok, (p, s) in zip(part.column("key").to_pylist(), part.column("lang").to_pylist(), has, counted(places, rows, part.num_rows)):
                 if ok:
-                    got.append((key, langs.index(lang), p.astype(np.int32), s.astype(np.float32)))
+                    got.append((key, lang, p.astype(np.int32), s.astype(np.float32)))
+        if not got:
+            return
         got.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
-        w, bias, t = learn([(p.astype(np.int64), s.astype(np.float64), y) for _, y, p, s in got], len(langs))
+        langs = sorted({lang for _, lang, _, _ in got})
+        w, bias, t = learn([(p.astype(np.int64), s.astype(np.float64), langs.index(y)) for _, y, p, s in got], len(langs))
         kept = np.flatnonzero(np.any(w != 0, axis=1))
-        yield pa.RecordBatch.from_pydict({"place": pa.array(np.r_[kept, -1, -2], pa.int64()), "weights": pa.array([*w[kept].tolist(), bias.tolist(), [t] * len(langs)], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({"place": pa.array(np.r_[kept, -1, -2], pa.int64()), "weights": pa.array([*w[kept].tolist(), bias.tolist(), [t] * len(langs)], pa.list_(pa.float64())), "langs": pa.array([None] * (len(kept) + 1) + [langs], pa.list_(pa.string()))})
 
-    got = labelled.withColumn("key", F.xxhash64("doc_id")).repartition(1).mapInArrow(tidy(train), "place long, weights array<double>").collect()
+    got = labelled.where("lang is not null").withColumn("key", F.xxhash64("doc_id")).repartition(1).mapInArrow(tidy(train), "place long, weights array<double>, langs array<string>").collect()
+    if not got:
+        return None
+    langs = next(r.langs for r in got if r.langs)
     special = {r.place: r.weights for r in got if r.place < 0}
     kept = sorted((r.place, r.weights) for r in got if r.place >= 0)
     return {"langs": langs, "places": np.array([k for k, _ in kept], np.int64), "weights": np.array([w for _, w in kept], np.float32).reshape(-1, len(langs)), "bias": np.array(special[-1]), "temperature": special[-2][0]}
@@ -175,7 +183,6 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    marks = sample(docs.where("lang is not null").where(fold_remainder(F.col("doc_id"), 4) != 2).select("doc_id", "lang"))
-    model = fit(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))
+    model = fit(sample(docs.where("lang is not null").where(fold_remainder(F.col("doc_id"), 4) != 2)))
     out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -10,7 +10,8 @@ for each of 2 ** BITS places, so the weights' size is bounded.
 
 Null and empty texts have no features and get the score of the bias. Null labels
 are not learned from; without any labelled row every score is 0.5. Repeated rows
-count as often as they stand there. Extra columns are ignored by the query and
+count as often as they stand there, within the bound. A null doc_id has no label and is
+not held out; it is scored as any other. Texts of any length are read whole. Extra columns are ignored by the query and
 kept by score(), which replaces one that has its own name.
 """
 
@@ -38,11 +39,11 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Places and rows of every word, stem, pair and skip-pair."""
     classes = alphanumeric()
     starts, ends, rows = word_spans(raw, offsets, classes)
-    words = span_hashes(raw, starts, ends, classes.value)
+    words = span_hashes(raw, starts, ends, classes.to)
     found = [(words, rows), grams(words, rows, 2)[:2], grams(words, rows, 2, step=2)[:2]]
     for k in STEMS:
         long = np.flatnonzero(ends - starts > k)
-        found.append((mix(span_hashes(raw, starts[long], starts[long] + k, classes.value) + np.uint64(k)), rows[long]))
+        found.append((mix(span_hashes(raw, starts[long], starts[long] + k, classes.to) + np.uint64(k)), rows[long]))
     places = np.concatenate([h for h, _ in found]) >> np.uint64(64 - BITS)
     return places.astype(np.int64), np.concatenate([r for _, r in found])
 
@@ -77,8 +78,9 @@ def ftrl(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most so many rows, those of least hash of doc_id."""
-    return labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    """At most so many rows, those of least hash of doc_id; of one doc_id by what else they hold."""
+    rest = [F.xxhash64(c) for c in labelled.columns if c != "doc_id"]
+    return labelled.orderBy(F.xxhash64("doc_id"), "doc_id", *rest).limit(rows)
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -138,4 +140,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(labelled_rows(docs, table(spark, sf_dir, "labels")))
     scored = score(docs.select("doc_id", "text"), model, "score")
-    return scored.select("doc_id", (fold_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
