@@ -16,17 +16,16 @@ from pyspark.sql import functions as F
 #: Bytes of text that the vectorised kernels take at once; a longer text goes alone.
 SLICE_BYTES = 1 << 20
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one is set in local mode, as in tests, and a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -122,21 +121,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def powers(n: int, base: int = _MULTIPLIER) -> np.ndarray:
-    out = np.full(max(n, 1), base | 1, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class ByteClasses:
-    """Which bytes belong to words, and the value that each byte adds to a word's hash (A-Z as a-z)."""
+    """Which bytes belong to words, and the byte that each counts as (A-Z as a-z)."""
 
-    def __init__(self, word: np.ndarray, lower: bool = True, seed: int = 11):
+    def __init__(self, word: np.ndarray):
         self.word = word
-        to = np.arange(256)
-        if lower:
-            to[65:91] += 32
-        self.value = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)[to]
+        self.to = np.arange(256, dtype=np.uint8)
+        self.to[65:91] += 32
 
 
 def nonspace() -> ByteClasses:
@@ -168,22 +159,43 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, classes: ByteClasses) -> tu
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray, base: int = _MULTIPLIER) -> np.ndarray:
-    """Polynomial (Karp-Rabin) 64-bit hash of each byte span; spans do not overlap and ascend."""
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_STEP, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, to: np.ndarray, other: bool = False) -> np.ndarray:
+    """64-bit hash of each byte span: the sum of its 8-byte words, each mixed with its place, mixed with the length.
+
+    other: of another family, sums of products of half words (plus keys of their place). Spans
+    that differ and agree in both are not expected among 2 ** 64 of them."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    low = np.zeros(len(raw) + 8, np.uint8)
+    np.take(to, raw, out=low[: len(raw)])
+    words = np.ndarray(len(raw) + 1, np.dtype("<u8"), buffer=low, strides=(1,))
     lengths = ends - starts
-    firsts = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
-    bytes_ = value[raw[within + np.repeat(starts, lengths)]]
-    bytes_ *= powers(int(lengths.max()), base)[within]
-    return mix(np.add.reduceat(bytes_, firsts) + lengths.astype(np.uint64))
+    count = (lengths + 7) >> 3
+    if count.max() == 1:
+        place, word, firsts = np.ones(1, np.uint64), words[starts] & _BYTES[lengths], None
+    else:
+        firsts = np.cumsum(count) - count
+        k = np.arange(int(count.sum())) - np.repeat(firsts, count)
+        word = words[np.repeat(starts, count) + 8 * k] & _BYTES[np.minimum(np.repeat(lengths, count) - 8 * k, 8)]
+        place = (k + 1).astype(np.uint64)
+    if other:
+        key = mix(place * _LENGTH)
+        half = np.uint64(0xFFFFFFFF)
+        part = ((word & half) + (key & half) & half) * ((word >> np.uint64(32)) + (key >> np.uint64(32)) & half)
+        part += part >> np.uint64(32)
+    else:
+        part = mix(word + place * _STEP)
+    return mix((part if firsts is None else np.add.reduceat(part, firsts)) + lengths.astype(np.uint64) * _LENGTH)
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, classes: ByteClasses) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word."""
     starts, ends, rows = word_spans(raw, offsets, classes)
-    return span_hashes(raw, starts, ends, classes.value), rows
+    return span_hashes(raw, starts, ends, classes.to), rows
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, n: int, step: int = 1, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

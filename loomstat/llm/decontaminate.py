@@ -2,9 +2,11 @@
 
 Words are runs of ASCII letters and digits (A-Z as a-z) and bytes over 127.
 Shared seeds, runs of MIN_MATCH words found by Karp-Rabin hashes rolling over all
-words of a document, join documents to benchmark items; hits are confirmed word by
-word. Seeds on one diagonal make up the longest matches of a pair. The longest match
-whose words are free in both texts is marked as a tile, again and again (ties: first
+words of a document, join documents to benchmark items. Seeds on one diagonal make up
+the longest matches of a pair: only meetings of equal seeds whose neighbours differ,
+where matches start and end, are written out, so repetitive texts give as many as they
+have diagonals. The longest match, confirmed word by word (128 bits, 64 of each of two
+unlike hash families), whose words are free in both texts is marked as a tile, again and again (ties: first
 in the item, then first in the document), matches that lost words to a tile are cut
 to what is free, and those under MIN_MATCH words go. The tiles' share of an item's
 words is its coverage, in whatever order the passages stand in the document; a
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import alphanumeric, grams, per_row, table, text_slices, tidy, utf8, words_of
+from loomstat.llm.common import alphanumeric, grams, per_row, span_hashes, table, text_slices, tidy, utf8, word_spans
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -35,22 +37,22 @@ PORTION_WORDS = 1_000_000
 _FILTER_BITS = 22
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, of: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item position, doc position, length) of word arrays whose seeds of `least` words meet at (at, of)."""
-    order = np.lexsort((at, at - of))
-    at, of = at[order], of[order]
-    fresh = np.flatnonzero(np.r_[True, (np.diff(at - of) != 0) | (np.diff(at) != 1)])
-    runs = np.diff(np.r_[fresh, len(at)]) + least - 1
-    queue = [(-int(n), int(q), int(p)) for n, q, p in zip(runs, of[fresh], at[fresh])]
+def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, of: np.ndarray, size: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item position, doc position, length) of word arrays whose longest matches start at (at, of) and have those sizes.
+
+    Words are rows of their two hashes; a match is compared word by word before it is marked."""
+    queue = [(-int(n), int(q), int(p)) for n, q, p in zip(size, of, at)]
     heapq.heapify(queue)
     free_doc, free_item, out = np.ones(len(doc), bool), np.ones(len(item), bool), []
     while queue:
         n, q, p = heapq.heappop(queue)
         free = free_item[q : q - n] & free_doc[p : p - n]
         if free.all():
-            free_item[q : q - n] = free_doc[p : p - n] = False
-            out.append((q, p, -n))
-            continue
+            free = (item[q : q - n] == doc[p : p - n]).reshape(-n, -1).all(1)
+            if free.all():
+                free_item[q : q - n] = free_doc[p : p - n] = False
+                out.append((q, p, -n))
+                continue
         edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
         for a, b in zip(edges[::2], edges[1::2]):
             if b - a >= least:
@@ -58,42 +60,83 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, of: np.ndarray, lea
     return out
 
 
+def _neighbours(seeds: np.ndarray, rows: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The seed before and after each one of its text; none at the text's ends."""
+    before, after = np.full(len(seeds), none, np.uint64), np.full(len(seeds), none, np.uint64)
+    inner = np.flatnonzero(rows[1:] == rows[:-1])
+    before[inner + 1], after[inner] = seeds[inner], seeds[inner + 1]
+    return before, after
+
+
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number of the ranges, and which range it is of."""
+    size = end - begin
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + begin[owner], owner
+
+
 class Portion:
     """Words and seeds of some benchmark items."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         self.ids = ids
-        words, rows = words_of(*utf8(pa.array(texts, pa.large_string())), alphanumeric())
-        self.words, self.cut = words, per_row(rows, len(ids))
-        seeds, self_rows, at = grams(words, rows, MIN_MATCH)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.item, self.at = seeds[order], self_rows[order], at[order]
+        classes = alphanumeric()
+        raw, offsets = utf8(pa.array(texts, pa.large_string()))
+        starts, ends, rows = word_spans(raw, offsets, classes)
+        words = span_hashes(raw, starts, ends, classes.to)
+        self.words, self.check, self.cut = words, span_hashes(raw, starts, ends, classes.to, other=True), per_row(rows, len(ids))
+        seeds, item, at = grams(words, rows, MIN_MATCH)
+        seeds = np.maximum(seeds, 2)
+        self.known, rank = np.unique(np.r_[np.uint64(1), seeds], return_inverse=True)
+        rank = rank[1:].astype(np.int64)
+        #: seeds in order of (seed, the one before it) and of (seed, the one after it)
+        self.sides = []
+        for near in _neighbours(seeds, item, 1):
+            key = rank << 32 | np.searchsorted(self.known, near)
+            order = np.argsort(key, kind="stable")
+            self.sides.append((key[order], item[order], at[order]))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
+        self.filter[seeds >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def _edges(self, side: int, rank: np.ndarray, near: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Meetings (row, item, diagonal, doc word, item word; sorted) of equal seeds whose neighbours on that side differ: where matches start or end."""
+        keys, item, of = self.sides[side]
+        own = np.minimum(np.searchsorted(self.known, near), len(self.known) - 1)
+        # a neighbour that no item has differs from all
+        own = np.where(self.known[own] == near, own, (1 << 32) - 1)
+        low, high = np.searchsorted(keys, rank << 32), np.searchsorted(keys, (rank + 1) << 32)
+        alike, past = np.searchsorted(keys, rank << 32 | own), np.searchsorted(keys, rank << 32 | own, side="right")
+        where, owner = (np.concatenate(x) for x in zip(_spread(low, alike), _spread(past, high)))
+        found = np.stack([row[owner], item[where], at[owner] - of[where], at[owner], of[where]])
+        return found[:, np.lexsort((found[3], found[2], found[1], found[0]))]
 
     def matches(self, raw: np.ndarray, offsets: np.ndarray):
         """(row, item index, coverage, tiles, longest tile) for pairs that share a seed."""
-        words, rows = words_of(raw, offsets, alphanumeric())
+        classes = alphanumeric()
+        starts, ends, rows = word_spans(raw, offsets, classes)
+        words = span_hashes(raw, starts, ends, classes.to)
         seeds, seed_rows, at = grams(words, rows, MIN_MATCH)
-        maybe = np.flatnonzero(self.filter[seeds >> np.uint64(64 - _FILTER_BITS)])
-        low = np.searchsorted(self.seeds, seeds[maybe], side="left")
-        many = np.searchsorted(self.seeds, seeds[maybe], side="right") - low
-        hit, low, many = maybe[many > 0], low[many > 0], many[many > 0]
+        seeds = np.maximum(seeds, 2)
+        hit = np.flatnonzero(self.filter[seeds >> np.uint64(64 - _FILTER_BITS)])
+        rank = np.minimum(np.searchsorted(self.known, seeds[hit]), len(self.known) - 1)
+        same = self.known[rank] == seeds[hit]
+        hit, rank = hit[same], rank[same].astype(np.int64)
         if not len(hit):
             return
-        which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at, row, item, of = np.repeat(at[hit], many), np.repeat(seed_rows[hit], many), self.item[which], self.at[which]
-        same = np.all([words[at + i] == self.words[of + i] for i in range(MIN_MATCH)], axis=0)
-        at, row, item, of = at[same], row[same], item[same], of[same]
-        order = np.lexsort((item, row))
-        at, row, item, of = at[order], row[order], item[order], of[order]
-        first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(item) != 0)]) if len(row) else []
+        before, after = _neighbours(seeds, seed_rows, 0)
+        begun = self._edges(0, rank, before[hit], seed_rows[hit], at[hit])
+        ended = self._edges(1, rank, after[hit], seed_rows[hit], at[hit])
+        size = ended[3] - begun[3] + MIN_MATCH
+        check = span_hashes(raw, starts, ends, classes.to, other=True)
+        row, item = begun[0], begun[1]
+        first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(item) != 0)])
         begin = per_row(rows, len(offsets) - 1)
         for a, b in zip(first, [*first[1:], len(row)]):
             r, k = int(row[a]), int(item[a])
-            own = self.words[self.cut[k] : self.cut[k + 1]]
-            found = tiles(words[begin[r] : begin[r + 1]], own, at[a:b] - begin[r], of[a:b] - self.cut[k])
-            yield r, k, sum(n for _, _, n in found) / len(own), len(found), max(n for _, _, n in found)
+            doc, own = slice(begin[r], begin[r + 1]), slice(self.cut[k], self.cut[k + 1])
+            found = tiles(np.stack([words[doc], check[doc]], 1), np.stack([self.words[own], self.check[own]], 1), begun[3, a:b] - begin[r], begun[4, a:b] - self.cut[k], size[a:b])
+            if found:
+                yield r, k, sum(n for _, _, n in found) / (own.stop - own.start), len(found), max(n for _, _, n in found)
 
 
 def portions(items: DataFrame):

@@ -2,6 +2,7 @@
 
 Words are runs of bytes other than space and 9 to 13, with A-Z as a-z; a document's
 set are its distinct shingles of `words` words (the whole sequence if it has fewer).
+Shingles are told apart by 128 bits, 64 of each of two unlike hash families.
 Documents of equal sets are one class. Each class gets HASHES MinHash samples. Bands
 of ROWS of them give candidates: classes that share a band are joined to the band's
 smallest member, and the connected parts of that graph are clusters. Two sets of
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import checkpoint, drop_shuffles, grams, mix, nonspace, per_row, release, table, text_slices, tidy, utf8, words_of
+from loomstat.llm.common import checkpoint, drop_shuffles, grams, mix, nonspace, per_row, release, span_hashes, table, text_slices, tidy, utf8, word_spans
 
 HASHES, BANDS, ROWS, SKETCH_BITS, CUT = 512, 48, 6, 1024, 266
 #: Most classes and shingles of a block; two blocks meet in a task.
@@ -39,26 +40,46 @@ _TIMES = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _PICK = np.stack([_rng.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ascending in each row, and row offsets."""
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, ascending in each row: their hashes of two unlike families, and row offsets."""
     n = len(offsets) - 1
-    hashes, rows = words_of(raw, offsets, nonspace())
-    found = [grams(hashes, rows, words)[:2]]
+    classes = nonspace()
+    starts, ends, rows = word_spans(raw, offsets, classes)
     count = np.bincount(rows, minlength=n)
     begin = np.cumsum(count) - count
-    for k in range(1, words):  # short documents: the whole sequence
-        short = np.flatnonzero(count == k)
-        if len(short):
-            h = np.full(len(short), k * 31 + 1, np.uint64)
-            for i in range(k):
-                h = h * np.uint64(0xD6E8FEB86659FD93) + hashes[begin[short] + i]
-            found.append((mix(h), short))
-    h, rows = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    both = []
+    for other, base in ((False, 0xD6E8FEB86659FD93), (True, 0xA0761D6478BD642F)):
+        hashes = span_hashes(raw, starts, ends, classes.to, other)
+        h, at, _ = grams(hashes, rows, words, base=base)
+        found = [(h, at)]
+        for k in range(1, words):  # short documents: the whole sequence
+            short = np.flatnonzero(count == k)
+            if len(short):
+                h = np.full(len(short), k * 31 + 1, np.uint64)
+                for i in range(k):
+                    h = h * np.uint64(base) + hashes[begin[short] + i]
+                found.append((mix(h), short))
+        both.append(np.concatenate([f[0] for f in found]))
+    h, g = both
+    rows = np.concatenate([f[1] for f in found])
     order = np.lexsort((h, rows))
-    h, rows = h[order], rows[order]
-    keep = np.r_[True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])] if len(h) else np.zeros(0, bool)
-    h, rows = h[keep], rows[keep]
-    return h, per_row(rows, n)
+    h, g, rows = h[order], g[order], rows[order]
+    same = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
+    if (same & (g[1:] != g[:-1])).any():  # unlike shingles of one hash
+        order = np.lexsort((g, h, rows))
+        h, g, rows = h[order], g[order], rows[order]
+        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (rows[1:] == rows[:-1])
+    keep = np.r_[np.ones(min(len(h), 1), bool), ~same]
+    h, g, rows = h[keep], g[keep], rows[keep]
+    return h, g, per_row(rows, n)
+
+
+def numbered(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """A number for each pair of hashes, the same for equal pairs."""
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    if not np.array_equal(g, g[first][which]):
+        which = np.unique(np.stack([h, g], 1), axis=0, return_inverse=True)[1].ravel()
+    return which
 
 
 def minhashes(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -101,7 +122,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for part in text_slices(batches):
             n = part.num_rows
-            h, cut = shingle_sets(*utf8(part.column("text")), words)
+            h, g, cut = shingle_sets(*utf8(part.column("text")), words)
             size = np.diff(cut)
             full = np.flatnonzero(size)
             f1, f2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -109,7 +130,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             if len(full):
                 starts = cut[full]
                 f1[full] = np.add.reduceat(mix(h), starts)
-                f2[full] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5DEADBEEF)), starts)
+                f2[full] = np.add.reduceat(mix(g), starts)
                 samples = minhashes(h, np.r_[starts, len(h)])
                 keys, odd = band_keys(samples).view(np.int64), sketches(samples)
                 for at, k, s in zip(full, keys, odd):
@@ -163,13 +184,14 @@ class _Forest:
         return int(i)
 
 
-def confirmed(ids: np.ndarray, sets: list[np.ndarray], bits: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def confirmed(ids: np.ndarray, sets: list[bytes], bits: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the pairs with 100 * intersection >= percent * union.
 
     With rows of two blocks only pairs across them count; each block has its own task."""
     n = len(ids)
-    size = np.array([len(s) for s in sets])
-    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    pairs = [np.frombuffer(s, np.uint64).reshape(2, -1) for s in sets]
+    size = np.array([s.shape[1] for s in pairs])
+    numbers = numbered(*np.concatenate(pairs, axis=1)) if n else np.zeros(0, np.int64)
     cut = np.r_[0, np.cumsum(size)]
     seen = np.zeros(int(numbers.max()) + 1 if len(numbers) else 0, bool)
     forest, links, two = _Forest(n), [], block.max() != block.min()
@@ -220,8 +242,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     def with_sets(batches):
         for part in text_slices(batches):
-            h, cut = shingle_sets(*utf8(part.column("text")), words)
-            sets = pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+            h, g, cut = shingle_sets(*utf8(part.column("text")), words)
+            sets = pa.array([h[a:b].tobytes() + g[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
             names = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets], names=[*names, "shingles"])
 
@@ -231,7 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        links = confirmed(group.column("rep").to_numpy(), [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()], np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1), group.column("block").to_numpy(), percent) if group.num_rows > 1 else []
+        links = confirmed(group.column("rep").to_numpy(), group.column("shingles").to_pylist(), np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1), group.column("block").to_numpy(), percent) if group.num_rows > 1 else []
         if group.num_rows > 100:
             release()
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})

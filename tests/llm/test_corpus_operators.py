@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +54,12 @@ def test_words_as_the_pattern():
     for a, b, r in zip(starts, ends, row):
         got[r].append(raw[a:b].tobytes())
     assert got == [re.findall(rb"[^\x20\x09-\x0D]+", t.encode()) for t in rows]
-    h = span_hashes(raw, starts, ends, nonspace().value)
-    same = {}
-    for a, b, x in zip(starts, ends, h):
-        assert same.setdefault(raw[a:b].tobytes().lower(), x) == x
-    assert len(set(same.values())) == len(same)
+    for other in (False, True):
+        h = span_hashes(raw, starts, ends, nonspace().to, other)
+        same = {}
+        for a, b, x in zip(starts, ends, h):
+            assert same.setdefault(raw[a:b].tobytes().lower(), x) == x
+        assert len(set(same.values())) == len(same)
     assert alphanumeric().word[ord("z")] and not alphanumeric().word[ord(".")]
 
 
@@ -100,6 +102,14 @@ def test_long_chain(spark):
     assert [t.text for t in row.turns] == [str(i) for i in range(1, n + 1)]
 
 
+def test_cycles_of_replies_end(spark):
+    """Two nodes that reply to each other, a chain that hangs on them, and one to itself, beside a tree."""
+    parents = {1: 2, 2: 1, 3: 2, 4: 3, 9: 9, 5: None, 6: 5, 7: 6, 8: 6}
+    nodes = spark.createDataFrame([("t", n, p, "user", f"m{n}", float(n)) for n, p in parents.items()], "tree string, node long, parent long, role string, text string, score double")
+    got = chat.paths(nodes, branches=9).groupBy("branch").agg(F.array_sort(F.collect_list(F.struct("position", "node"))).alias("p")).orderBy("branch").collect()
+    assert [[x.node for x in r.p] for r in got] == [[5, 6, 8], [5, 6, 7]]
+
+
 @pytest.mark.parametrize("text", ["<|im_end|>", "\\", "<\\|", "\\<|", "<\\\\|x", "a\nb<|<|", ""])
 def test_escapes(spark, text):
     df = spark.createDataFrame([(0, 0, "user", text), (0, 1, "assi<|stant\n", text)], "conv_id long, turn long, role string, text string")
@@ -135,14 +145,49 @@ def slow_tiles(doc, item, least):
         out.append((q, p, n))
 
 
-def test_tiles_against_brute_force():
-    rng = np.random.default_rng(3)
-    for _ in range(60):
-        doc, item = rng.integers(0, 3, 40), rng.integers(0, 3, 15)
-        k = 4
-        at, of = np.array([(p, q) for p in range(len(doc) - k + 1) for q in range(len(item) - k + 1) if (doc[p : p + k] == item[q : q + k]).all()] or np.zeros((0, 2)), int).reshape(-1, 2).T
-        got = decontaminate.tiles(doc, item, at, of, k) if len(at) else []
-        assert got == slow_tiles(list(doc), list(item), k)
+def test_matches_against_brute_force():
+    """Coverage and tiles of whole tables of small texts over few words, many of them repetitive."""
+    rng = random.Random(3)
+    some = lambda n: [" ".join(rng.choice("abc"[: rng.choice((1, 2, 3))]) for _ in range(rng.randint(0, n))) for _ in range(25)]
+    docs, items = [*some(40), "a b " * 30, "a " * 50], [*some(25), "a b " * 12, "a " * 20, "c b a a b"]
+    found = {(r, k): (c, n, longest) for r, k, c, n, longest in decontaminate.Portion(list(range(len(items))), items).matches(*utf8(pa.array(docs)))}
+    want = {}
+    for (r, d), (k, t) in itertools.product(enumerate(docs), enumerate(items)):
+        if got := slow_tiles(d.split(), t.split(), decontaminate.MIN_MATCH):
+            want[r, k] = (sum(n for _, _, n in got) / len(t.split()), len(got), max(n for _, _, n in got))
+    assert found == want and len(want) > 100
+
+
+def test_repetitive_texts_are_quick():
+    import time
+
+    began = time.process_time()
+    ((_, _, coverage, n, longest),) = decontaminate.Portion([1], ["na " * 10_000]).matches(*utf8(pa.array(["na " * 20_000])))
+    assert (coverage, n, longest) == (1.0, 1, 10_000) and time.process_time() - began < 5
+
+
+#: Two words whose polynomial hashes modulo 2 ** 64 are equal, whatever the base.
+DOUBLED = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+TWINS = DOUBLED, DOUBLED.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_polynomials(spark):
+    frame = " {} one two three four five six seven eight"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([TWINS[0], TWINS[1], TWINS[0], *(frame.format(t) for t in TWINS)])], "doc_id long, text string")
+    assert [r.component_id for r in neardup.near_duplicates(docs, words=4).orderBy("doc_id").collect()] == [0, 1, 0, 3, 4]
+    items = spark.createDataFrame([(7, " ".join([TWINS[1], "x1 x2 x3 x4"]))], "item_id long, text string")
+    copies = spark.createDataFrame([(i, f"{t} x1 x2 x3 x4") for i, t in enumerate(TWINS)], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.overlaps(copies, items).collect()] == [1]
+
+
+def test_shingles_of_one_hash(monkeypatch):
+    """Where the first family of hashes fails, the second tells shingles apart."""
+    real = neardup.span_hashes
+    monkeypatch.setattr(neardup, "span_hashes", lambda raw, a, b, to, other=False: real(raw, a, b, to, True) if other else np.full(len(a), 5, np.uint64))
+    h, g, cut = neardup.shingle_sets(*utf8(pa.array(["a b c d e", "a b c d e", "a b c d f g"])), 4)
+    assert np.diff(cut).tolist() == [2, 2, 3]
+    numbers = neardup.numbered(h, g)
+    assert numbers[:2].tolist() == numbers[2:4].tolist() and len(set(numbers.tolist())) == 4
 
 
 def test_reordered_passage_is_caught(spark):
@@ -277,8 +322,7 @@ def test_bpe_against_tiktoken(tiktoken_encoding, texts):
 
 def test_pieces_are_told_apart_by_their_bytes(tiktoken_encoding, monkeypatch):
     """Words whose polynomial hashes modulo 2 ** 64 are equal, whatever the base; a table that starts afresh; a long text in parts."""
-    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
-    other = word.translate(str.maketrans("ab", "ba"))
+    word, other = TWINS
     rows = [word, other, f"{word} {other} x", "one two one", "", "exactly15bytes_ exactly16bytes__ é" * 3]
     monkeypatch.setattr(pieces.PieceTable, "MOST", 3)
     monkeypatch.setattr(pieces.PieceTable, "CHUNK", 2)
@@ -483,21 +527,73 @@ def test_long_runs_are_quick():
 
 
 def test_best_segmentation_is_the_best():
-    weights = pii.train()
-    for text, _ in pii.examples(40, seed=9):
+    """All picks of segments and all kinds for them, with the weights of pairs."""
+    rng = np.random.default_rng(4)
+    pair = rng.normal(size=(pii.STATES, len(pii.KINDS)))  # made to matter
+    field, checked = pii.Field(pii.train().own, pair * 3), 0
+    for text, _ in pii.examples(60, seed=9):
         for start, end in pii.windows(text):
             tokens, segments = pii.lattice(text, start, end)
-            if len(segments) > 14:
+            segments = list(segments)
+            if len(segments) > 9:
                 continue
-            score = pii._scores(segments, weights)
+            score = {(i, j): field.score(names) for i, j, names in segments}
+
+            def total(picked):
+                state, out = 0, 0.0
+                for i, j, kind in picked:
+                    out += score[i, j][kind] + field.pair[state, kind]
+                    state = kind + 1
+                return out
+
             top = 0.0
-            for n in range(len(segments) + 1):
-                for pick in itertools.combinations(range(len(segments)), n):
-                    spans = sorted((segments[k][0], segments[k][1]) for k in pick)
-                    if all(a[1] <= b[0] for a, b in zip(spans, spans[1:])):
-                        top = max(top, sum(score[k].max() for k in pick))
-            at = {(i, j): k for k, (i, j, _) in enumerate(segments)}
-            assert abs(sum(score[at[i, j]][kind] for i, j, kind in pii.best(len(tokens), segments, weights)) - top) < 1e-9
+            for n in range(1, min(4, len(segments) + 1)):
+                for pick in itertools.combinations(sorted(score), n):
+                    if all(a[1] <= b[0] for a, b in zip(pick, pick[1:])):
+                        for kinds in itertools.product(range(len(pii.KINDS)), repeat=n):
+                            top = max(top, total([(*s, k) for s, k in zip(pick, kinds)]))
+            got = pii.best(len(tokens), segments, field)
+            assert len(got) < 4 and abs(total(got) - top) < 1e-9
+            checked += len(got) > 1
+    assert checked
+
+
+def test_posterior_sums_over_segmentations():
+    rng = np.random.default_rng(1)
+    segments = [(0, 1, np.array([1])), (0, 2, np.array([2])), (1, 2, np.array([3])), (2, 4, np.array([1, 2])), (3, 4, np.array([4]))]
+    own, pair = rng.normal(size=(5, len(pii.KINDS))), rng.normal(size=(pii.STATES, len(pii.KINDS)))
+    weight, whole = np.zeros((len(segments), pii.STATES, len(pii.KINDS))), 0.0
+    for n in range(len(segments) + 1):
+        for pick in itertools.combinations(range(len(segments)), n):
+            if all(segments[a][1] <= segments[b][0] for a, b in zip(pick, pick[1:])):
+                for kinds in itertools.product(range(len(pii.KINDS)), repeat=n):
+                    states = [0, *(k + 1 for k in kinds)]
+                    e = np.exp(sum(own[segments[s][2], k].sum() + pair[z, k] for s, k, z in zip(pick, kinds, states)))
+                    whole += e
+                    for s, k, z in zip(pick, kinds, states):
+                        weight[s, z, k] += e
+    assert np.allclose(pii._posterior(5, segments, own, pair), weight / whole)
+
+
+def test_mailing_lists_are_quick():
+    import time
+
+    text, began = "name@example.com 1\n" * 20_000, time.process_time()
+    assert pii.added_spans(text, pii.base_spans(text), pii.train()) == [] and time.process_time() - began < 40
+
+
+def test_pii_query_columns(spark, texts, tmp_path):
+    """The registered query's own columns against the plain patterns and the field's spans."""
+    rows = [*texts[:60], (-5, None), (-5, "a@b.cc 10.0.0.1 +1 (555) 010-2030 4111 1111 1111 1111 sk = deadbeefdeadbeefdeadbeefdeadbeef"), (None, "x@y.zz")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in pii.op7_personal_data(spark, str(tmp_path)).collect()), key=repr)
+    want = []
+    for i, t in rows:
+        base = plain_spans(t or "")
+        written = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        every = sorted({*base, *pii.added_spans(t or "", base, pii.train())}, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+        want.append((i, *(sum(k == kind for k, _, _ in base) for kind in pii.BASE), hashlib.sha256(written(base).encode()).hexdigest(), written(every)))
+    assert got == sorted(want, key=repr)
 
 
 def test_field_on_unseen_sentences():
@@ -551,6 +647,112 @@ def test_toxicity_features_by_hand():
     assert len(places[rows == 3]) == 1 + 3 and len(set(places[rows == 3]) & set(places[rows == 4])) == 2  # stems abcd and abcde
 
 
+def plain_ftrl(rows, alpha, beta, l1, l2, epochs):
+    """(features, label) in order: weights and bias, over dicts."""
+    z, n = {}, {}
+
+    def weight(f):
+        s, free = z.get(f, 0.0), 0.0 if f == "bias" else l1
+        return 0.0 if abs(s) <= free else -(s - np.sign(s) * free) / ((beta + n.get(f, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, label in rows:
+            at = {f: weight(f) for f in [*features, "bias"]}
+            g = 1 / (1 + np.exp(-sum(at.values()))) - label
+            for f, w in at.items():
+                z[f] = z.get(f, 0.0) + g - ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / alpha * w
+                n[f] = n.get(f, 0.0) + g * g
+    return weight
+
+
+def plain_features(text):
+    w = re.findall(rb"[A-Za-z0-9\x80-\xff]+", (text or "").encode())
+    w = [x.lower() for x in w]
+    return {("word", x) for x in w} | {("stem", k, x[:k]) for x in w for k in toxicity.STEMS if len(x) > k} | set(zip(w, w[1:])) | {("skip", a, b) for a, b in zip(w, w[2:])}
+
+
+def test_toxicity_against_plain_ftrl(spark, tmp_path):
+    """The registered query on a small table, with repeated and null keys and a held-out fold."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(("nice", "horrible", "words", "vilest", "day", "é")) for _ in range(rng.randint(0, 7))) or None) for i in range(60)]
+    rows += [(3, "nice day"), (None, "horrible vilest")]
+    marks = [(i, int("vilest" in (t or ""))) for i, t in rows[:50]] + [(None, 1), (55, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [tuple(r) for r in toxicity.op8_toxicity(spark, str(tmp_path)).collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    order = {r.id: r.h for r in spark.range(60).select("id", F.xxhash64("id").alias("h")).collect()}
+    labels = {i: y for i, y in marks if i is not None and y is not None and not held(i)}
+
+    def places(text):  # equal keys come in the order of label, then bytes of places
+        p, r = toxicity.presence(*toxicity.features(*utf8(pa.array([text], pa.string()))))
+        return p.astype(np.int32).tobytes()
+
+    taught = sorted((order[i], labels[i], places(t), t) for i, t in rows if i in labels)
+    weight = plain_ftrl([(plain_features(t), y) for _, y, _, t in taught], toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2, toxicity.EPOCHS)
+    want = {(i, t): 1 / (1 + np.exp(-sum(map(weight, [*plain_features(t), "bias"])))) for i, t in rows}
+    assert len(got) == len(rows)
+    assert np.allclose(sorted(s for _, _, s, _ in got), sorted(want[r] for r in rows), atol=1e-9) and max(want.values()) > 0.5 > min(want.values())
+    assert all(h == held(i) and p == int(s >= 0.5) for i, h, s, p in got)
+
+
+def plain_grams(text):
+    chars = []
+    for i, c in enumerate(text or ""):
+        c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+        if c != " " or not chars or chars[-1] != " ":
+            chars.append(c)
+    return ["".join(chars[i : i + n]) for n in language.SIZES for i in range(len(chars) - n + 1)]
+
+
+def test_language_against_plain_regression(spark, tmp_path):
+    """Weights learned over dicts of n-grams, and predictions, on a small table with repeated and null keys."""
+    rng = random.Random(6)
+    words = {"en": "the cat sat on my mat", "fr": "le chat est là sur", "de": "die Katze saß auf dem"}
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(rng.randint(1, 9))) + rng.choice((".", " 12", "")), k) for i, k in enumerate(rng.choice(sorted(words)) for _ in range(80))]
+    rows += [(5, "le le le", "fr"), (5, "the the", "en"), (5, "the the", "en"), (None, "auf", "de"), (90, None, "en"), (91, " 1 ", "en"), (92, "mat", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in language.op10_language(spark, str(tmp_path)).collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    order = {r.id: r.h for r in spark.range(100).select("id", F.xxhash64("id").alias("h")).collect()}
+
+    def places(text):
+        (p, _), = language.counted(*language.features(*utf8(pa.array([text])))[:2], 1)
+        return p.astype(np.int32).tobytes()
+
+    taught = sorted({(order[i], k, places(t), t) for i, t, k in rows if i is not None and not held(i) and k and t and any(c.isalpha() for c in t)})
+    shares = lambda t: {g: n / len(plain_grams(t)) for g, n in Counter(plain_grams(t)).items()}
+    examples = [({g: float(np.float32(x)) for g, x in shares(t).items()}, sorted(words).index(k)) for _, k, _, t in taught]
+    own, later = [e for i, e in enumerate(examples) if i % 5 != 4], [e for i, e in enumerate(examples) if i % 5 == 4]
+    seen = Counter(g for x, _ in own for g in x)
+    idf = lambda g: language.SCALE * np.log((1 + len(own)) / (1 + seen[g]))
+    z, n, zero = {}, {}, np.zeros(3)
+
+    def weight(g):
+        s, l1 = z.get(g, zero), 0.0 if g is None else language.L1
+        return np.where(np.abs(s) <= l1, 0.0, -(s - np.sign(s) * l1) / ((language.BETA + np.sqrt(n.get(g, zero))) / language.ALPHA + language.L2))
+
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for _ in range(language.EPOCHS):
+        for x, y in own:
+            x = {None: 1.0} | {g: v * idf(g) for g, v in x.items()}
+            w = {g: weight(g) for g in x}
+            off = soft(sum(v * w[g] for g, v in x.items())) - np.eye(3)[y]
+            for g, v in x.items():
+                new = n.get(g, zero) + (v * off) ** 2
+                z[g] = z.get(g, zero) + v * off - (np.sqrt(new) - np.sqrt(n.get(g, zero))) / language.ALPHA * w[g]
+                n[g] = new
+    logits = lambda x: weight(None) + sum(v * idf(g) * weight(g) for g, v in x.items() if g in seen)
+    heat = min(np.geomspace(0.1, 10, 61), key=lambda t: np.mean([-np.log(max(soft(logits(x) / t)[y], 1e-12)) for x, y in later]))
+    want = []
+    for i, t, _ in rows:
+        p = soft(logits(shares(t or "")) / heat) if any(c.isalpha() for c in t or "") else None
+        want.append((-1 if i is None else i, held(i), "und" if p is None else sorted(words)[p.argmax()], 0.0 if p is None else p.max()))
+    got = sorted((-1 if i is None else i, *r) for i, *r in got)
+    want.sort()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-4)
+
+
 def test_language_held_out(spark):
     out = language.op10_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert out.where("lang = lang_pred").count() / out.count() > 0.95
