@@ -11,7 +11,7 @@ from loomstat.llm.licences import op4_licence_scan
 from loomstat.llm.neardup import OP3_SQL, op3_near_duplicates
 from loomstat.llm.pii import op7_personal_data
 from loomstat.llm.toxicity import op8_toxicity
-from loomstat.llm.vectors import op9_nearest_vectors
+from loomstat.llm.vectors import OP9_SQL, op9_nearest_vectors
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_formatting": OP1_SQL,
     "op3_near_duplicates": OP3_SQL,
+    "op9_nearest_vectors": OP9_SQL,
 }

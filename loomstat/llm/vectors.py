@@ -3,19 +3,25 @@
 A vector is the sum of one word from each of STAGES full-dimensional codebooks,
 fitted on at most SAMPLE_ROWS vectors (those of least hash of vec_id): k-means on
 residuals, then least squares over all codebooks at once with fresh beam-search
-codes. Every vector is encoded by beam search, with the norm of its approximation.
-
-Search is by largest inner product. Queries and candidates are dealt into blocks
-by a hash of vec_id; a task holds one block of each, reads approximate scores off a
-table of query x word products, keeps the SHORTLIST best of the block (ties to the
-smaller vec_id), scores those exactly on the original vectors in double precision,
-and passes the k best of the block on. Blocks bound the memory of a task; the
-number of candidates examined grows with their number.
+codes. Every vector is encoded by beam search and stored with two norms: the square of
+its approximation's, and that of the error.
+
+Search is by largest inner product, or by least Euclidean distance. Queries and
+candidates are dealt into blocks by a hash of vec_id and vector; a task holds one block
+of each and reads approximate scores off a table of query x word products (for distances
+less half the stored square norm). A score may be off by MARGIN times the query's norm
+times the error's norm (four standard deviations of a random direction in 256
+dimensions, two in 64); all candidates of the block whose upper bound reaches the k-th
+largest lower bound are scored exactly on the original vectors in double precision, with
+no limit to their number, and the k best of the block go on (ties to the smaller
+vec_id). Blocks bound the memory of a task; every query meets every block once, so the
+work grows with queries x candidates.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those whose length is not the most common one (of equals, the smaller). Rows of
-the same vec_id are each a candidate; a query that stands there twice is asked once. Extra columns are ignored; an empty table
-gives an empty result.
+the same vec_id are each a candidate. A query that stands there twice is asked once; two
+vectors of one vec_id are two queries, each with its own ranks. Extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ from loomstat.llm.common import table, tidy
 
 SAMPLE_ROWS = 8_192
 STAGES, WORDS, BEAM, ROUNDS = 12, 256, 6, 1
-#: Candidates of a block that are scored exactly.
-SHORTLIST = 512
+#: Share of |query| x |error| by which an approximate score may be off.
+MARGIN = 0.25
 CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 2_048
 
 
@@ -104,12 +110,16 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest among all vectors of another vec_id."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, measure: str = "inner") -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k nearest among all vectors of another vec_id.
+
+    The score is the inner product, or for "euclidean" the distance."""
+    if k < 1 or measure not in ("inner", "euclidean"):
+        raise ValueError("k is positive, measure inner or euclidean")
     spark = vectors.sparkSession
     vectors, queries = usable(vectors), usable(queries).dropDuplicates(["vec_id", "embedding"])
     taught = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").collect()
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, asked long, vec_id long, score double"
     if not taught:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = fit_codebooks(np.array([r.embedding for r in taught], np.float64))
@@ -120,52 +130,68 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             if batch.num_rows:
                 x = _matrix(batch.column("embedding"))
                 codes = _in_parts(x, shared.value)
-                norms = (decode(codes, shared.value) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=[*batch.schema.names, "codes", "norm"])
+                near = decode(codes, shared.value)
+                norms, errors = (near**2).sum(1), np.sqrt(((x - near) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(errors)], names=[*batch.schema.names, "codes", "norm", "error"])
 
-    coded = vectors.mapInArrow(tidy(add_codes), "vec_id long, embedding array<double>, codes binary, norm double")
+    coded = vectors.mapInArrow(tidy(add_codes), "vec_id long, embedding array<double>, codes binary, norm double, error double")
     n_candidates, n_queries = vectors.count(), queries.count()
     over, across = -(-n_candidates // CANDIDATE_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
     # rows of one vec_id spread too: a block is picked by the vector as well
     block = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    left = queries.select(F.col("vec_id").alias("query_id"), "embedding", block(across).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(over - 1))).alias("cb"))
-    right = coded.select("vec_id", "embedding", "codes", "norm", block(over).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("qb"))
+    left = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("asked"), "embedding", block(across).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(over - 1))).alias("cb"))
+    right = coded.select("vec_id", "embedding", "codes", "norm", "error", block(over).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("qb"))
 
     def nearest(qs: pa.Table, cs: pa.Table) -> pa.Table:
         books = shared.value
-        out = [[], [], []]
+        out = [[], [], [], []]
         if qs.num_rows and cs.num_rows:
             ids = cs.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], _matrix(cs.column("embedding"))[order]
+            norm, error = cs.column("norm").to_numpy()[order], cs.column("error").to_numpy()[order]
+            reach = MARGIN * error + 1e-9 * np.sqrt(norm)  # and roundings
             codes = np.frombuffer(b"".join(cs.column("codes").to_pylist()), np.int16).reshape(len(ids), -1)[order]
-            asked, q = qs.column("query_id").to_numpy(), _matrix(qs.column("embedding"))
-            tables = np.einsum("qd,mwd->mqw", q, books).astype(np.float32)
-            keep = min(SHORTLIST + 1, len(ids))
+            query, asked, q = qs.column("query_id").to_numpy(), qs.column("asked").to_numpy(), _matrix(qs.column("embedding"))
+            tables = np.einsum("qd,mwd->mqw", q, books)
             for i in range(len(q)):
                 approx = tables[0, i][codes[:, 0]]
                 for m in range(1, len(books)):
                     approx = approx + tables[m, i][codes[:, m]]
-                if keep < len(ids):
-                    floor = np.partition(approx, len(ids) - keep)[len(ids) - keep]
-                    sure = np.flatnonzero(approx > floor)
-                    short = np.concatenate([sure, np.flatnonzero(approx == floor)[: keep - len(sure)]])  # ties: smaller ids first
-                else:
-                    short = np.arange(len(ids))
-                short = short[ids[short] != asked[i]]
-                exact = (x[short] * q[i]).sum(1)
+                if measure == "euclidean":
+                    approx = approx - norm / 2
+                off = np.sqrt((q[i] ** 2).sum()) * reach
+                low = np.where(ids == query[i], -np.inf, approx - off)
+                short = np.flatnonzero((approx + off >= np.partition(low, len(ids) - k)[len(ids) - k] if k < len(ids) else np.ones(len(ids), bool)) & (ids != query[i]))
+                exact = (x[short] * q[i]).sum(1) if measure == "inner" else -np.sqrt(((x[short] - q[i]) ** 2).sum(1))
                 best = np.lexsort((ids[short], -exact))[:k]
-                out[0].append(np.full(len(best), asked[i]))
-                out[1].append(ids[short[best]])
-                out[2].append(exact[best])
+                out[0].append(np.full(len(best), query[i]))
+                out[1].append(np.full(len(best), asked[i]))
+                out[2].append(ids[short[best]])
+                out[3].append(exact[best])
         cat = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": pa.array(cat[0].astype(np.int64)), "vec_id": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(np.float64))})
+        return pa.table({name: pa.array(c.astype(kind)) for name, c, kind in zip(("query_id", "asked", "vec_id", "score"), cat, (np.int64, np.int64, np.int64, np.float64))})
 
     found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(nearest, schema)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rank = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
+    score = F.col("score") if measure == "inner" else -F.col("score")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), w AS (SELECT len(e) AS width FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
+), u AS (SELECT vec_id, e FROM v, w WHERE len(e) = width
+), q AS (SELECT DISTINCT vec_id, e FROM u WHERE vec_id % 20 = 0
+), s AS (
+  SELECT q.vec_id AS query_id, q.e AS asked, u.vec_id, list_inner_product(q.e, u.e) AS score FROM q JOIN u ON q.vec_id <> u.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -782,7 +782,6 @@ def brute(rows, k):
 
 def test_vector_recall(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CANDIDATE_BLOCK", 1000)
-    monkeypatch.setattr(vectors, "SHORTLIST", 120)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 16)))]
@@ -796,6 +795,36 @@ def test_vector_recall(spark, monkeypatch):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) > 0.9
 
 
+def test_vector_recall_on_the_embeddings(spark):
+    """The registered query with its own parameters, against all inner products."""
+    sf = SF.replace("0.001", "0.1")
+    want = brute([(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], 20)
+    got = {}
+    for r in vectors.op9_nearest_vectors(spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(want) and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) > 0.95
+
+
+def test_vector_query_against_sql(spark):
+    from oracle import same
+
+    assert same(vectors.op9_nearest_vectors(spark, SF), vectors.OP9_SQL) > 1
+
+
+def test_nearest_by_distance_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "WORDS", 4)
+    monkeypatch.setattr(vectors, "STAGES", 2)
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in vectors.search(df, df.where("vec_id = 20"), 5, "euclidean").collect():
+        d = [(np.linalg.norm(np.array(v) - rows[20][1]), i) for i, v in rows if i != 20]
+        assert (r.score, r.vec_id) == pytest.approx(sorted(d)[r.rank - 1])
+    twice = df.unionByName(spark.createDataFrame([(20, [9.0, 0.0, 0.0, 0.0]), (20, [9.0, 0.0, 0.0, 0.0])], df.schema))
+    got = vectors.search(twice, twice.where("vec_id = 20"), 5).collect()
+    assert sorted(r.rank for r in got) == sorted([*range(1, 6)] * 2) and 20 not in {r.vec_id for r in got}
+
+
 def test_vectors_all_alike_and_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0], "x") for i in range(50)] + [(60, None, "x"), (61, [0.0, 0.0], "x"), (62, [nan, 1.0], "x"), (63, [inf, 1.0], "x"), (64, [None, 1.0], "x"), (65, [1.0], "x"), (None, [1.0, 1.0], "x")]
