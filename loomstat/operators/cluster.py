@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,8 +154,9 @@ class MiniBatchKMeans(KMeans):
 class DBSCAN(Params):
     """Rows with min_samples rows (itself too) within eps are cores; connected cores make a cluster, numbered by smallest row.
 
-    A border row takes the smallest cluster id of its cores, what is left is noise (-1).
-    Connected cores are found by rounds of smallest labels with a jump to the label's own label."""
+    A border row takes the smallest cluster id of its cores, what is left is noise (-1). The pairs within eps are
+    counted and summed up where they arise and never stored: cores of one small cell (in which all rows are within
+    eps) stand for each other, so what is stored are pairs of cells."""
 
     defaults = {"features": (), "row_id": None, "eps": 0.5, "min_samples": 5, "metric": "euclidean", "cluster": "cluster"}
 
@@ -160,39 +164,83 @@ class DBSCAN(Params):
         if self.eps <= 0 or self.min_samples < 1 or self.row_id is None:
             raise InvalidParameter("eps and min_samples are positive, row_id is given")
 
+    def _near(self, df: DataFrame) -> DataFrame:
+        return radius_neighbors(df, df, list(self.features), self.row_id, self.row_id, self.eps, self.metric)
+
+    def _cores(self, df: DataFrame) -> DataFrame:
+        counts = self._near(df).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples)
+        return df.join(counts.select(F.col("query_id").alias(self.row_id)), self.row_id, "left_semi")
+
+    def _cell(self) -> Column:
+        """A cell in which all rows are within eps of each other; the side is a little less for roundings."""
+        p = len(self.features)
+        across = {"euclidean": p**0.5, "manhattan": p, "chebyshev": 1}.get(self.metric)
+        if across is None:
+            return F.array(F.col(self.row_id).cast("string"))
+        return F.array(*[F.floor(F.col(n).cast("double") * (across * 1.000001 / self.eps)).cast("string") for n in self.features])
+
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        names = list(self.features)
-        near = radius_neighbors(df, df, names, self.row_id, self.row_id, self.eps, self.metric).persist()
-        cores = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select(F.col("query_id").alias("id"))
-        edges = near.join(cores, near.query_id == cores.id, "left_semi").join(cores, near.neighbor_id == cores.id, "left_semi").select(F.col("query_id").alias("u"), F.col("neighbor_id").alias("v")).persist()
-        labels = edges.groupBy("u").agg(F.min("v").alias("l")).persist()
-        while True:
-            around = edges.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("l"))
-            jump = around.join(labels.select(F.col("u").alias("at"), F.col("l").alias("far")), around.l == F.col("at"), "left").select("u", F.least("l", F.coalesce("far", "l")).alias("l"))
-            new = _cut(jump)
-            moved = new.join(labels.withColumnRenamed("l", "old"), "u").where("l <> old").isEmpty()
-            labels = new
-            if moved:
-                break
-        seeds = labels.select("l").distinct()
-        numbers = seeds.withColumn("c", F.row_number().over(Window.orderBy("l")) - 1)  # a row for each cluster
-        core = labels.join(numbers, "l").select(F.col("u").alias("id"), "c")
-        reach = near.join(core, near.neighbor_id == core.id).groupBy("query_id").agg(F.min("c").alias("c"))
-        own = core.withColumnRenamed("c", "own")
-        found = reach.join(own, reach.query_id == own.id, "left").select(F.col("query_id").alias(self.row_id), F.coalesce("own", "c").cast("int").alias(self.cluster))
+        cells = self._cores(df).select(F.col(self.row_id).alias("id"), self._cell().alias("cell"))
+        firsts = cells.groupBy("cell").agg(F.min("id").alias("rep"))
+        cores = _cut(cells.join(firsts, "cell").select("id", "rep"))
+        near = self._near(df)
+        u, v = cores.toDF("query_id", "u"), cores.toDF("neighbor_id", "v")
+        edges = _cut(near.join(u, "query_id").join(v, "neighbor_id").where("u <> v").select("u", "v").distinct())
+        linked = connected(edges)
+        reps = cores.select(F.col("rep").alias("u")).distinct()
+        labels = _cut(reps.join(linked, "u", "left").select("u", F.coalesce("l", "u").alias("l")))
+        # a cluster's number is the place of its smallest row among those of all clusters, counted range by range
+        seeds = labels.select("l").distinct().withColumn("part", F.floor(F.col("l") / CLUSTERS))
+        parts = seeds.groupBy("part").agg(F.count("*").alias("n"))
+        before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+        numbers = seeds.join(before, "part").select("l", (F.row_number().over(Window.partitionBy("part").orderBy("l")) - 1 + F.col("before")).alias("c"))
+        core = _cut(cores.join(labels.withColumnRenamed("u", "rep").join(numbers, "l"), "rep").select("id", "c"))
+        reach = near.join(core.toDF("neighbor_id", "c"), "neighbor_id").groupBy("query_id").agg(F.min("c").alias("c"))
+        found = reach.join(core.toDF("query_id", "own"), "query_id", "left").select(F.col("query_id").alias(self.row_id), F.coalesce("own", "c").cast("int").alias(self.cluster))
         return df.join(found, self.row_id, "left").withColumn(self.cluster, F.coalesce(self.cluster, F.lit(-1)))
 
     def predict(self, fitted: DataFrame, df: DataFrame) -> DataFrame:
         """Cluster of the nearest core within eps, else noise. fitted: what fit_transform returned."""
         names = list(self.features)
-        counts = radius_neighbors(fitted, fitted, names, self.row_id, self.row_id, self.eps, self.metric).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples)
-        cores = fitted.join(counts, fitted[self.row_id] == counts.query_id, "left_semi").withColumn("_c", F.col(self.cluster))
+        cores = self._cores(fitted).withColumn("_c", F.col(self.cluster))
         best = k_nearest(cores, df, names, self.row_id, self.row_id, 1, self.metric, ["_c"]).select(F.col("query_id").alias(self.row_id), F.when(F.col("distance") <= self.eps, F.col("_c")).otherwise(-1).alias(self.cluster))
         return df.join(best, self.row_id, "left")
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """u, l (smallest vertex that it reaches) for the vertices of edges (u, v), which stand there in both directions.
+
+    Each vertex points to its smallest neighbour or itself, pointers are doubled until they end, and what they join
+    becomes one vertex; each round at least halves the vertices that still have edges. Every step is
+    written to the checkpoint folder and read again."""
+    labels = None
+    while not edges.isEmpty():
+        up = _cut(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("l")))
+        while True:
+            two = up.join(up.toDF("l", "far"), "l").select("u", F.col("far").alias("l"))
+            new = _cut(two.join(two.toDF("l", "far"), "l").select("u", F.col("far").alias("l")))
+            ended = new.join(up.toDF("u", "old"), "u").where("l <> old").isEmpty()
+            up = new
+            if ended:
+                break
+        labels = up if labels is None else _cut(labels.join(up.toDF("l", "far"), "l", "left").select("u", F.coalesce("far", "l").alias("l")))
+        edges = _cut(edges.join(up.toDF("u", "a"), "u").join(up.toDF("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    return labels if labels is not None else edges.toDF("u", "l")
+
+
+#: Row ids of a range within which clusters are numbered.
+CLUSTERS = 1 << 20
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint where a folder is set, else keep in memory and on disk."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    """Write to the checkpoint folder and read again: lineage ends, and sizes are those of the files."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidParameter("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -130,6 +130,71 @@ def test_dbscan_noise_and_predict(spark):
     assert {r.id: r.cluster for r in d.predict(fitted, new).collect()} == {10: 0, 11: -1}
 
 
+def test_connected_paths(spark):
+    rng = np.random.default_rng(3)
+    names = rng.permutation(300)
+    links = [(int(names[i]), int(names[i + 1])) for i in range(299) if i % 50 != 49] + [(1000 + i, 1001 + i) for i in range(40)]
+    got = {r.u: r.l for r in cluster.connected(table(spark, links + [(b, a) for a, b in links], "u long, v long")).collect()}
+    want = {int(names[i]): int(min(names[i // 50 * 50 : i // 50 * 50 + 50])) for i in range(300)} | {1000 + i: 1000 for i in range(41)}
+    assert got == want
+    assert cluster.connected(table(spark, [], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_dbscan_against_plain(spark, metric):
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.normal(size=(60, 3)), rng.normal(size=(40, 3)) + 4, rng.uniform(-8, 8, (20, 3)), np.ones((15, 3))]
+    n, eps, least = len(x), 0.9, 4
+    d = np.abs(x[:, None] - x[None])
+    d = {"euclidean": np.sqrt((d * d).sum(-1)), "manhattan": d.sum(-1), "chebyshev": d.max(-1)}[metric]
+    near = d <= eps
+    core = near.sum(1) >= least
+    want, number = np.full(n, -1), 0
+    for i in range(n):
+        if core[i] and want[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if want[j] < 0:
+                    want[j] = number
+                    if core[j]:
+                        todo += np.flatnonzero(near[j] & core).tolist()
+            number += 1
+    for i in np.flatnonzero(~core):
+        if (near[i] & core).any():
+            want[i] = min(want[j] for j in np.flatnonzero(near[i] & core))
+    df = table(spark, [(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
+    out = cluster.DBSCAN(features=["a", "b", "c"], row_id="id", eps=eps, min_samples=least, metric=metric).fit_transform(df)
+    assert [r.cluster for r in out.orderBy("id").collect()] == want.tolist() and number > 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_trees_and_brute_force_agree(spark, metric, monkeypatch):
+    monkeypatch.setattr(neighbors, "TREE_BLOCK", 150)
+    monkeypatch.setattr(neighbors, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(neighbors, "LEAF", 8)
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, v)) for i, v in enumerate(np.r_[rng.integers(0, 4, (200, 3)), rng.normal(size=(200, 3))])]
+    df = table(spark, rows, "id long, a double, b double, c double")
+    ask = df.where("id % 7 = 0")
+    found = {how: sorted(map(tuple, neighbors.k_nearest(df, ask, ["a", "b", "c"], "id", "id", 9, metric, algorithm=how).collect())) for how in ("brute", "kd_tree", "ball_tree", "auto")}
+    plain = [(q, r, i) for q, r, i, _ in found["brute"]]
+    for how in ("kd_tree", "ball_tree", "auto"):
+        assert [(q, r, i) for q, r, i, _ in found[how]] == plain and np.allclose([r[3] for r in found[how]], [r[3] for r in found["brute"]])
+    with pytest.raises(errors.InvalidParameter):
+        neighbors.k_nearest(df, ask, ["a"], "id", "id", 3, "cosine", algorithm="kd_tree")
+    with pytest.raises(errors.NonFiniteValue):
+        neighbors.k_nearest(df.withColumn("a", F.lit(float("nan"))), ask, ["a"], "id", "id", 3, algorithm="ball_tree")
+
+
+def test_radius_search_in_a_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 10)
+    rows = [(i, 0.0, float(i % 5)) for i in range(60)] + [(100 + i, float(i), 0.0) for i in range(9)]
+    df = table(spark, rows, "id long, a double, b double")
+    got = {(r.query_id, r.neighbor_id) for r in neighbors.radius_neighbors(df, df, ["a", "b"], "id", "id", 1.0).collect()}
+    assert got == {(p[0], q[0]) for p in rows for q in rows if math.hypot(p[1] - q[1], p[2] - q[2]) <= 1.0}
+
+
 def test_pca_matches_numpy(spark):
     x = np.random.default_rng(2).normal(size=(40, 4)) @ np.diag([3, 2, 1, 0.5])
     names = list("abcd")
