@@ -17,11 +17,15 @@ def uniform(row_id: str, *seed: int) -> Column:
     return F.pmod(F.xxhash64(*map(F.lit, seed), F.col(row_id)), F.lit(1 << 52)) / float(1 << 52)
 
 
+MOST_DRAWS = 18
+
+
 def bootstrap_count(row_id: str, *seed: int) -> Column:
-    """How often a row is drawn: Poisson of mean 1, the limit of drawing n of n with replacement."""
-    u, out, p, total = uniform(row_id, *seed), F.lit(8.0), math.exp(-1), 0.0
+    """How often a row is drawn: Poisson of mean 1, the limit of drawing n of n with replacement; more than
+    MOST_DRAWS have a probability under that of one step of the draw."""
+    u, out, p, total = uniform(row_id, *seed), F.lit(float(MOST_DRAWS)), math.exp(-1), 0.0
     cuts = []
-    for k in range(8):
+    for k in range(MOST_DRAWS):
         total += p
         cuts.append((k, total))
         p /= k + 1
