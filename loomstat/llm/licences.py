@@ -1,16 +1,19 @@
 """Licence scans: a trained paragraph classifier, with DataFrame functions only.
 
-A paragraph is a line. Its words are runs of a-z and 0-9 after lower-casing, without
-stop words; features are the presence of words and of pairs of neighbours. A sparse
+Paragraphs are parted by blank lines. Each line is scanned on its own, for notices of
+one line; a paragraph of several lines is scanned as a whole besides, for wrapped
+texts, and reported if it is confirmed. Words are runs of a-z and 0-9 after
+lower-casing, without stop words; features are the presence of words and of pairs of neighbours. A sparse
 multinomial logistic regression (L1, trained here on statements made from the
 families' names and on characteristic sentences, with unrelated sentences as the
 class `unknown`) scores the families. Its temperature and the least probability of a
 family are calibrated on made statements that it has not seen. A prediction is
 confirmed if enough of the words of one of the family's templates stand in the
 paragraph. Only words with a weight can move a score from the bias, which says
-`unknown`; so lines without any of them leave before scoring, which changes no result.
+`unknown`; so pieces without any of them leave before scoring, which changes no result.
 
-Null and empty texts have no paragraphs. Repeated rows are each reported; other
+Null and empty texts have no paragraphs. A text without line breaks is one line,
+however long. Repeated rows are each reported; other
 columns are ignored. Nothing moves between tasks; the weights are literals of fixed
 size.
 """
@@ -33,6 +36,8 @@ from loomstat.llm.common import table
 UNKNOWN = "unknown"
 #: Share of a template's words that confirms a prediction.
 CONFIRM = 0.6
+#: What parts paragraphs: one blank line or more.
+BLANK = r"\n(?:[ \t\r]*\n)+"
 L1, RATE, STEPS = 0.0004, 4.0, 200
 #: A feature stands in that many examples at least.
 LEAST_EXAMPLES = 3
@@ -156,32 +161,34 @@ def _literal(value, kind: str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (0-based line), family, probability, template_similarity, confirmed of paragraphs with a licence."""
+    """doc_id, paragraph and its line (both from 0; no line: the whole paragraph), family, probability, template_similarity, confirmed of what names a licence."""
     model = train()
     classes, n = model["classes"], len(model["classes"])
     # of a pair one word is enough to look for: the one that comes first in IN_PAIRS, or is not there at all
     vocabulary = sorted({min(f.split(" "), key=lambda w: (IN_PAIRS.index(w) if w in IN_PAIRS else -1, -len(w), w)) for f in model["weights"]})
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    blocks = docs.select("doc_id", F.posexplode(F.split("text", BLANK)).alias("paragraph", "block")).withColumn("parts", F.split("block", "\n"))
+    whole = F.when(F.size("parts") > 1, F.array("block")).otherwise(F.array().cast("array<string>"))
+    pieces = blocks.select("doc_id", "paragraph", F.posexplode(F.concat("parts", whole)).alias("line", "said")).withColumn("line", F.when(F.instr("said", "\n") == 0, F.col("line").cast("long")))
     stop = F.array(*map(F.lit, ("", *STOP)))
     known = weights = _literal(model["weights"], "map<string,array<double>>")
-    said = lines.withColumn("words", F.split(F.lower("line"), "[^a-z0-9]+")).where(F.arrays_overlap("words", F.array(*map(F.lit, vocabulary)))).select(
-        "doc_id", "paragraph", F.filter("words", lambda w: ~F.array_contains(stop, w)).alias("words"))
+    said = pieces.withColumn("words", F.split(F.lower("said"), "[^a-z0-9]+")).where(F.arrays_overlap("words", F.array(*map(F.lit, vocabulary)))).select(
+        "doc_id", "paragraph", "line", F.filter("words", lambda w: ~F.array_contains(stop, w)).alias("words"))
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     alone = F.filter("words", lambda w: ~w.isin(*IN_PAIRS))
-    listed = said.select("doc_id", "paragraph", "words", F.explode(F.array(F.filter(F.array_distinct(F.concat(alone, pairs)), lambda f: known[f].isNotNull()))).alias("features"))
+    listed = said.select("doc_id", "paragraph", "line", "words", F.explode(F.array(F.filter(F.array_distinct(F.concat(alone, pairs)), lambda f: known[f].isNotNull()))).alias("features"))
     zero = F.array(*[F.lit(0.0)] * n)
     total = F.aggregate(F.transform("features", lambda f: weights[f]), zero, lambda s, w: F.zip_with(s, w, lambda a, b: a + b))
     bias = F.array(*map(F.lit, model["bias"]))
     margins = F.zip_with(total, bias, lambda s, b: (s / F.sqrt(F.greatest(F.size("features"), F.lit(1))) + b) / model["temperature"])
     # each explode of one element keeps what it makes from being worked out again where it is used
-    scored = listed.where(F.size("features") > 0).select("doc_id", "paragraph", "words", F.explode(F.array(margins)).alias("margins")).withColumn("top", F.array_max("margins"))
+    scored = listed.where(F.size("features") > 0).select("doc_id", "paragraph", "line", "words", F.explode(F.array(margins)).alias("margins")).withColumn("top", F.array_max("margins"))
     scored = scored.withColumn("probability", 1 / F.aggregate("margins", F.lit(0.0), lambda s, m: s + F.exp(m - F.col("top"))))
     best = F.get(F.array(*map(F.lit, classes)), F.array_position("margins", F.col("top")).cast("int") - 1)
     found = scored.withColumn("family", best).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model["least"]))
     own = F.filter(_literal(_templates(), "array<struct<family:string,words:array<string>>>"), lambda t: t.family == F.col("family"))
     similar = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t.words, F.col("words"))) / F.size(t.words)))
-    return found.withColumn("template_similarity", similar).select(
-        "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "template_similarity", (F.col("template_similarity") >= CONFIRM).alias("confirmed"))
+    return found.withColumn("template_similarity", similar).where(F.col("line").isNotNull() | (F.col("template_similarity") >= CONFIRM)).select(
+        "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "line", "family", "probability", "template_similarity", (F.col("template_similarity") >= CONFIRM).alias("confirmed"))
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter
 
@@ -278,17 +279,26 @@ def test_near_duplicates_odd_tables(odd, empty):
 def test_licences(spark, empty):
     said = {"GPL": "This work is licensed under the GNU General Public License, version 3.", "MIT": "Released under the MIT License.", "CC-BY-NC": "Licensed under CC BY-NC 4.0.", "Apache": "Licensed under the Apache License, Version 2.0.", "MPL": "Distributed under the terms of the Mozilla Public License, version 2.0."}
     rows = [(i, f"Er ging mit uns.\n{t}\nThe driver had a license.") for i, t in enumerate(said.values())] + [(90, None), (91, ""), (92, "mit und mit")]
-    got = {r.doc_id: (r.paragraph, r.family, r.confirmed) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.line, r.family, r.confirmed) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("line is not null").collect()}
     assert got == {i: (1, f, True) for i, f in enumerate(said)}
     assert licences.train()["held_out_accuracy"] > 0.95
     assert licences.scan(empty).count() == 0
 
 
+def test_licence_wrapped_paragraphs(spark, odd, empty):
+    grants = {f: s[0] for f, s in licences.SENTENCES.items()}
+    wrapped = {i: "Some notes on the tool.\n\n \t\n" + "\n".join(textwrap.wrap(t, 60)) + "\n\nThe end of it." for i, t in enumerate(grants.values())}
+    rows = [(i, t, "x") for i, t in wrapped.items()] + [(0, wrapped[0], "y"), (90, "a walk in the park\nand home again", "z"), (91, "word " * 200_000, "z"), (92, "\n\n\n", "z")]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, family string")).where("line is null").collect()
+    assert sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in found) == sorted([(i, 1, f, True) for i, f in enumerate(grants)] + [(0, 1, [*grants][0], True)])
+    assert licences.scan(odd).count() == 0 and licences.scan(empty).count() == 0
+
+
 def test_licence_filter_changes_nothing(spark):
     """Scores by a plain reading of the model, without the filter on the vocabulary."""
     m = licences.train()
     text = "\n".join(t for t, _ in licences._examples()[:300])
-    got = {r.paragraph: r.family for r in licences.scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).collect()}
+    got = {r.line: r.family for r in licences.scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).where("line is not null").collect()}
     for i, line in enumerate(text.split("\n")):
         known = [f for f in licences._features(line) if f in m["weights"]]
         margin = np.array(m["bias"]) + sum((np.array(m["weights"][f]) for f in known), np.zeros(len(m["classes"]))) / max(1, len(known)) ** 0.5
