@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of ASCII letters and digits (A-Z as a-z) and bytes over 127.
+Words are runs of ASCII letters and digits (A-Z as a-z) and bytes over 127; in scripts
+without spaces each character is a word.
 Shared seeds, runs of MIN_MATCH words found by Karp-Rabin hashes rolling over all
 words of a document, join documents to benchmark items. Seeds on one diagonal make up
 the longest matches of a pair: only meetings of equal seeds whose neighbours differ,
@@ -15,12 +16,14 @@ document is contaminated by an item with a coverage of THRESHOLD or more.
 The items' words are broadcast in portions of at most PORTION_WORDS words (a longer
 item goes alone), one pass over the documents for each portion.
 
-Null and empty texts match nothing, nor do items of under MIN_MATCH words. Repeated
+An item of under MIN_MATCH words is its own seed: a text with all of them in a row has a
+coverage of 1. Null texts and texts without words match nothing. Repeated
 items and documents are reported one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -35,6 +38,28 @@ THRESHOLD = 0.5
 PORTION_WORDS = 1_000_000
 #: Bits of the filter that most words' seeds stop at.
 _FILTER_BITS = 22
+# First and last code points of scripts that put no spaces between words (Thai and Lao, Burmese, Khmer, kana, Han).
+SPACELESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def words_at(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes) and row of each word."""
+    starts, ends, rows = word_spans(raw, offsets, alphanumeric())
+    at = np.flatnonzero(raw >= 0xE0)
+    if not len(at):
+        return starts, ends, rows
+    size = np.where(raw[at] < 0xF0, 3, 4)
+    code = raw[at].astype(np.int64) & np.where(size == 3, 15, 7)
+    for k in range(1, 4):
+        code = np.where(k < size, code << 6 | raw[np.minimum(at + k, len(raw) - 1)] & 63, code)
+    alone = np.zeros(len(at), bool)
+    for first, last in SPACELESS:
+        alone |= (code >= first) & (code <= last)
+    at, past = at[alone], (at + size)[alone]
+    if not len(at):
+        return starts, ends, rows
+    begun, over = np.unique(np.r_[starts, at, past[~np.isin(past, ends)]]), np.unique(np.r_[ends, past, at[~np.isin(at, starts)]])
+    return begun, over, np.searchsorted(offsets, begun, side="right") - 1
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, of: np.ndarray, size: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -82,7 +107,7 @@ class Portion:
         self.ids = ids
         classes = alphanumeric()
         raw, offsets = utf8(pa.array(texts, pa.large_string()))
-        starts, ends, rows = word_spans(raw, offsets, classes)
+        starts, ends, rows = words_at(raw, offsets)
         words = span_hashes(raw, starts, ends, classes.to)
         self.words, self.check, self.cut = words, span_hashes(raw, starts, ends, classes.to, other=True), per_row(rows, len(ids))
         seeds, item, at = grams(words, rows, MIN_MATCH)
@@ -95,6 +120,14 @@ class Portion:
             key = rank << 32 | np.searchsorted(self.known, near)
             order = np.argsort(key, kind="stable")
             self.sides.append((key[order], item[order], at[order]))
+        #: seeds of the items of so few words, in order, and the items
+        self.short, sizes = {}, np.diff(self.cut)
+        for n in range(1, MIN_MATCH):
+            if (sizes == n).any():
+                key, own, _ = grams(words, rows, n)
+                key, own = key[sizes[own] == n], own[sizes[own] == n]
+                order = np.argsort(key, kind="stable")
+                self.short[n] = key[order], own[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[seeds >> np.uint64(64 - _FILTER_BITS)] = True
 
@@ -110,11 +143,27 @@ class Portion:
         found = np.stack([row[owner], item[where], at[owner] - of[where], at[owner], of[where]])
         return found[:, np.lexsort((found[3], found[2], found[1], found[0]))]
 
+    def _whole(self, words: np.ndarray, check, rows: np.ndarray):
+        """(row, item index, number of words) of items of under MIN_MATCH words that stand in a row; check() gives the words' other hashes."""
+        for n, (keys, own) in self.short.items():
+            key, row, at = grams(words, rows, n)
+            where, owner = _spread(np.searchsorted(keys, key), np.searchsorted(keys, key, side="right"))
+            if len(where):
+                item, at, other = own[where], at[owner], check()
+                same = np.ones(len(item), bool)
+                for k in range(n):
+                    same &= (self.words[self.cut[item] + k] == words[at + k]) & (self.check[self.cut[item] + k] == other[at + k])
+                for r, i in np.unique(np.stack([row[owner][same], item[same]], 1), axis=0):
+                    yield int(r), int(i), n
+
     def matches(self, raw: np.ndarray, offsets: np.ndarray):
         """(row, item index, coverage, tiles, longest tile) for pairs that share a seed."""
         classes = alphanumeric()
-        starts, ends, rows = word_spans(raw, offsets, classes)
+        starts, ends, rows = words_at(raw, offsets)
         words = span_hashes(raw, starts, ends, classes.to)
+        check = functools.cache(lambda: span_hashes(raw, starts, ends, classes.to, other=True))
+        for r, k, n in self._whole(words, check, rows):
+            yield r, k, 1.0, 1, n
         seeds, seed_rows, at = grams(words, rows, MIN_MATCH)
         seeds = np.maximum(seeds, 2)
         hit = np.flatnonzero(self.filter[seeds >> np.uint64(64 - _FILTER_BITS)])
@@ -127,21 +176,20 @@ class Portion:
         begun = self._edges(0, rank, before[hit], seed_rows[hit], at[hit])
         ended = self._edges(1, rank, after[hit], seed_rows[hit], at[hit])
         size = ended[3] - begun[3] + MIN_MATCH
-        check = span_hashes(raw, starts, ends, classes.to, other=True)
         row, item = begun[0], begun[1]
         first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(item) != 0)])
         begin = per_row(rows, len(offsets) - 1)
         for a, b in zip(first, [*first[1:], len(row)]):
             r, k = int(row[a]), int(item[a])
             doc, own = slice(begin[r], begin[r + 1]), slice(self.cut[k], self.cut[k + 1])
-            found = tiles(np.stack([words[doc], check[doc]], 1), np.stack([self.words[own], self.check[own]], 1), begun[3, a:b] - begin[r], begun[4, a:b] - self.cut[k], size[a:b])
+            found = tiles(np.stack([words[doc], check()[doc]], 1), np.stack([self.words[own], self.check[own]], 1), begun[3, a:b] - begin[r], begun[4, a:b] - self.cut[k], size[a:b])
             if found:
                 yield r, k, sum(n for _, _, n in found) / (own.stop - own.start), len(found), max(n for _, _, n in found)
 
 
 def portions(items: DataFrame):
     """Items in portions of bounded size, each collected when its turn comes."""
-    sized = items.select("item_id", "text", (F.length("text") / 2 + 1).alias("most_words")).where("text is not null")
+    sized = items.select("item_id", "text", (F.length("text") / 2 + F.length(F.regexp_replace("text", r"[\x{0}-\x{DFF}]+", "")) / 2 + 1).alias("most_words")).where("text is not null")
     total = sized.agg(F.sum("most_words")).first()[0] or 0
     n = int(-(-total // PORTION_WORDS))
     for k in range(n):

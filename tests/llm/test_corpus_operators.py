@@ -201,6 +201,35 @@ def test_reordered_passage_is_caught(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [2, 3]
 
 
+def plain_words(text):
+    spaceless = "".join(f"{chr(a)}-{chr(b)}" for a, b in decontaminate.SPACELESS)
+    return [w.lower() for w in re.findall(f"[{spaceless}]|(?:[0-9A-Za-z]|[^\\x00-\\x7f{spaceless}])+", text)]
+
+
+def test_decontamination_words():
+    rng = random.Random(8)
+    rows = ["".join(rng.choice("aB .é日本ไทยかန𠀀😀ក한,") for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    raw, offsets = utf8(pa.array(rows))
+    starts, ends, row = decontaminate.words_at(raw, offsets)
+    got = [[] for _ in rows]
+    for a, b, r in zip(starts, ends, row):
+        got[r].append(raw[a:b].tobytes().decode().replace("B", "b"))
+    assert got == [plain_words(t) for t in rows]
+
+
+def test_decontamination_short_items(spark):
+    """Items of under five words, and of scripts without spaces, stand in a text as a whole."""
+    rng = random.Random(9)
+    docs = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["前文。東京は日本の首都である。後文", "東京は日本", "x"]
+    items = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (1, 2, 3, 3, 4, 4, 4)] + ["a  B.c", "a  B.c", "", "東京は日本の首都である", "首都"]
+    found = decontaminate.overlaps(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    want = set()
+    for (i, d), (k, t) in itertools.product(enumerate(map(plain_words, docs)), enumerate(map(plain_words, items))):
+        if 0 < len(t) and any(d[p : p + len(t)] == t for p in range(len(d))):
+            want.add((i, k, 1.0, 1, len(t)))
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_decontamination_portions(spark, monkeypatch):
     whole = sorted(map(tuple, decontaminate.op2_decontamination(spark, SF).collect()))
     monkeypatch.setattr(decontaminate, "PORTION_WORDS", 1500)
