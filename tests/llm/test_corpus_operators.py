@@ -202,7 +202,7 @@ def test_reordered_passage_is_caught(spark):
     docs = spark.createDataFrame([(1, f"Before. {moved} after"), (2, "clean text of other words"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, " ".join(words).upper()), (8, "w1 w2"), (9, None)], "item_id long, text string")
     rows = decontaminate.overlaps(docs, items).collect()
-    assert [(r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in rows] == [(1, 7, 1.0, 2)]
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in rows) == [(1, 7, 1.0, 2), (1, 8, 1.0, 1)]
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [2, 3]
 
 
