@@ -182,19 +182,19 @@ class DBSCAN(Params):
     def fit_transform(self, df: DataFrame) -> DataFrame:
         cells = self._cores(df).select(F.col(self.row_id).alias("id"), self._cell().alias("cell"))
         firsts = cells.groupBy("cell").agg(F.min("id").alias("rep"))
-        cores = _cut(cells.join(firsts, "cell").select("id", "rep"))
+        cores = cut_lineage(cells.join(firsts, "cell").select("id", "rep"))
         near = self._near(df)
         u, v = cores.toDF("query_id", "u"), cores.toDF("neighbor_id", "v")
-        edges = _cut(near.join(u, "query_id").join(v, "neighbor_id").where("u <> v").select("u", "v").distinct())
+        edges = cut_lineage(near.join(u, "query_id").join(v, "neighbor_id").where("u <> v").select("u", "v").distinct())
         linked = connected(edges)
         reps = cores.select(F.col("rep").alias("u")).distinct()
-        labels = _cut(reps.join(linked, "u", "left").select("u", F.coalesce("l", "u").alias("l")))
+        labels = cut_lineage(reps.join(linked, "u", "left").select("u", F.coalesce("l", "u").alias("l")))
         # a cluster's number is the place of its smallest row among those of all clusters, counted range by range
         seeds = labels.select("l").distinct().withColumn("part", F.floor(F.col("l") / CLUSTERS))
         parts = seeds.groupBy("part").agg(F.count("*").alias("n"))
         before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
         numbers = seeds.join(before, "part").select("l", (F.row_number().over(Window.partitionBy("part").orderBy("l")) - 1 + F.col("before")).alias("c"))
-        core = _cut(cores.join(labels.withColumnRenamed("u", "rep").join(numbers, "l"), "rep").select("id", "c"))
+        core = cut_lineage(cores.join(labels.withColumnRenamed("u", "rep").join(numbers, "l"), "rep").select("id", "c"))
         reach = near.join(core.toDF("neighbor_id", "c"), "neighbor_id").groupBy("query_id").agg(F.min("c").alias("c"))
         found = reach.join(core.toDF("query_id", "own"), "query_id", "left").select(F.col("query_id").alias(self.row_id), F.coalesce("own", "c").cast("int").alias(self.cluster))
         return df.join(found, self.row_id, "left").withColumn(self.cluster, F.coalesce(self.cluster, F.lit(-1)))
@@ -215,16 +215,16 @@ def connected(edges: DataFrame) -> DataFrame:
     written to the checkpoint folder and read again."""
     labels = None
     while not edges.isEmpty():
-        up = _cut(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("l")))
+        up = cut_lineage(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("l")))
         while True:
             two = up.join(up.toDF("l", "far"), "l").select("u", F.col("far").alias("l"))
-            new = _cut(two.join(two.toDF("l", "far"), "l").select("u", F.col("far").alias("l")))
+            new = cut_lineage(two.join(two.toDF("l", "far"), "l").select("u", F.col("far").alias("l")))
             ended = new.join(up.toDF("u", "old"), "u").where("l <> old").isEmpty()
             up = new
             if ended:
                 break
-        labels = up if labels is None else _cut(labels.join(up.toDF("l", "far"), "l", "left").select("u", F.coalesce("far", "l").alias("l")))
-        edges = _cut(edges.join(up.toDF("u", "a"), "u").join(up.toDF("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        labels = up if labels is None else cut_lineage(labels.join(up.toDF("l", "far"), "l", "left").select("u", F.coalesce("far", "l").alias("l")))
+        edges = cut_lineage(edges.join(up.toDF("u", "a"), "u").join(up.toDF("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     return labels if labels is not None else edges.toDF("u", "l")
 
 
@@ -232,15 +232,21 @@ def connected(edges: DataFrame) -> DataFrame:
 CLUSTERS = 1 << 20
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the checkpoint folder and read again: lineage ends, and sizes are those of the files."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode, and a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise InvalidParameter("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write to the checkpoint folder and read again: lineage ends, and sizes are those of the files."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     path = f"{folder}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

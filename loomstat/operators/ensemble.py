@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.base import Model, Params
-from loomstat.errors import InvalidParameter
+from loomstat.errors import EmptyInput, InvalidParameter
+from loomstat.operators.cluster import cut_lineage
 from loomstat.operators.tree import DecisionTreeClassifier, DecisionTreeRegressor, TreeModel, _draw, _plain, grow, route, squared
 
 
@@ -136,6 +137,12 @@ LOSSES = {
     "huber": (lambda y, z: F.when(F.abs(z - y) <= 1, z - y).otherwise(F.signum(z - y)), lambda y, z: F.when(F.abs(z - y) <= 1, 1.0).otherwise(0.0)),
     "log_loss": (lambda y, z: _sigmoid(z) - y, lambda y, z: _sigmoid(z) * (1 - _sigmoid(z))),
 }
+LOSS_VALUES = {
+    "squared_error": lambda y, z: (z - y) * (z - y) / 2,
+    "absolute_error": lambda y, z: F.abs(z - y),
+    "huber": lambda y, z: F.when(F.abs(z - y) <= 1, (z - y) * (z - y) / 2).otherwise(F.abs(z - y) - 0.5),
+    "log_loss": lambda y, z: F.greatest(z, F.lit(0.0)) - y * z + F.log1p(F.exp(-F.abs(z))),
+}
 
 
 class GradientBoosting(Params):
@@ -143,13 +150,21 @@ class GradientBoosting(Params):
 
     The raw prediction of the stages so far is one column, written every `cut` stages to keep the
     plan short. histogram=True bins the features and grows leaves best first by
-    GL^2/(HL+l2) + GR^2/(HR+l2) - G^2/(H+l2)."""
+    GL^2/(HL+l2) + GR^2/(HR+l2) - G^2/(H+l2).
+
+    patience: stop when the mean loss of the rows held out has not fallen by tol for so many stages; each
+    row is held out with the probability `validation`, by its row_id. probability names a column of class
+    probabilities, in the order of classes."""
 
-    defaults = {"features": (), "label": "label", "prediction": "prediction", "row_id": None, "loss": "squared_error", "stages": 100, "rate": 0.1, "max_depth": 3, "min_leaf": 1, "subsample": 1.0, "l2": 0.0, "seed": 0, "max_bins": None, "histogram": False, "max_leaves": 31, "cut": 10}
+    defaults = {"features": (), "label": "label", "prediction": "prediction", "probability": None, "patience": None, "validation": 0.1, "tol": 1e-4, "row_id": None, "loss": "squared_error", "stages": 100, "rate": 0.1, "max_depth": 3, "min_leaf": 1, "subsample": 1.0, "l2": 0.0, "seed": 0, "max_bins": None, "histogram": False, "max_leaves": 31, "cut": 10}
 
     def check(self) -> None:
         if self.loss not in LOSSES:
             raise InvalidParameter(f"loss {self.loss}")
+        if self.patience is not None and (self.patience < 1 or not 0 < self.validation < 1 or self.row_id is None):
+            raise InvalidParameter("patience is positive, validation between 0 and 1, and row_id tells which rows are held out")
+        if self.probability and self.loss != "log_loss":
+            raise InvalidParameter("only log_loss gives probabilities")
 
     def _start(self, df: DataFrame, y: Column) -> float:
         mean = df.agg(F.avg(y)).first()[0]
@@ -166,11 +181,13 @@ class GradientBoosting(Params):
         targets = [(F.col(self.label) == F.lit(c)).cast("double") for c in (classes[1:] if len(classes) == 2 else classes)] or [F.col(self.label).cast("double")]
         gradient, hessian = LOSSES[self.loss]
         chains = []
+        held = uniform(self.row_id, self.seed, -1) < self.validation if self.patience else F.lit(False)
         for k, y in enumerate(targets):
-            start, trees = self._start(df, y), []
-            rows = df.select(*names, *([self.row_id] if self.row_id else []), y.alias("_y")).withColumn("_z", F.lit(start))
+            start, trees, best, waited = self._start(df.where(~held), y), [], math.inf, 0
+            rows = df.select(*names, *([self.row_id] if self.row_id else []), y.alias("_y"), held.alias("_held")).withColumn("_z", F.lit(start))
             for stage in range(self.stages):
-                part = rows.where(uniform(self.row_id, self.seed, k, stage) < self.subsample) if self.subsample < 1 else rows
+                part = rows.where(~F.col("_held"))
+                part = part.where(uniform(self.row_id, self.seed, k, stage) < self.subsample) if self.subsample < 1 else part
                 g, h = gradient(F.col("_y"), F.col("_z")), hessian(F.col("_y"), F.col("_z"))
                 if self.histogram:
                     stats = {"n": F.lit(1.0), "g": g, "h": h}
@@ -183,10 +200,17 @@ class GradientBoosting(Params):
                 trees.append({"nodes": _plain(nodes), "values": values})
                 rows = rows.withColumn("_z", F.col("_z") + _tree_value(trees[-1], names))
                 if stage % self.cut == self.cut - 1:
-                    rows = rows.persist()
-                    rows.count()
+                    rows = cut_lineage(rows)
+                if self.patience:
+                    loss_now = rows.where("_held").agg(F.avg(LOSS_VALUES[self.loss](F.col("_y"), F.col("_z")))).first()[0]
+                    if loss_now is None:
+                        raise EmptyInput("no row is held out")
+                    waited = 0 if loss_now < best - self.tol else waited + 1
+                    best = min(best, loss_now)
+                    if waited == self.patience:
+                        break
             chains.append({"start": start, "trees": trees})
-        return BoostingModel(features=names, classes=classes, chains=chains, loss=self.loss, prediction=self.prediction)
+        return BoostingModel(features=names, classes=classes, chains=chains, loss=self.loss, prediction=self.prediction, probability=self.probability)
 
 
 def HistGradientBoosting(**params) -> GradientBoosting:
@@ -205,6 +229,10 @@ class BoostingModel(Model):
         z = self.raw()
         if not self.classes:
             return df.withColumn(self.prediction, z[0])
+        if self.probability:
+            ones = [_sigmoid(c) for c in z]
+            shares = F.array(1 - ones[0], ones[0]) if len(z) == 1 else F.array(*[p / sum(ones[1:], ones[0]) for p in ones])
+            df = df.withColumn(self.probability, shares)
         if len(self.classes) == 2:
             return df.withColumn(self.prediction, F.when(z[0] > 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])))
         a = F.array(*z)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.base import Model
 from loomstat.errors import EmptyInput, InvalidParameter
 
 EPSILON = 2.220446049250313e-16
@@ -217,6 +218,66 @@ def information(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     return t.select(F.col("mi").alias("mutual_information"), h.alias("homogeneity"), c.alias("completeness"), F.when(h + c > 0, 2 * h * c / (h + c)).otherwise(0.0).alias("v_measure"), F.when(F.col("ha") + F.col("hb") > 0, 2 * F.col("mi") / (F.col("ha") + F.col("hb"))).otherwise(1.0).alias("nmi"))
 
 
+# --- states that add up over batches ---
+
+
+class ClassificationState(Model):
+    """Counts of (label, prediction), one cell for each pair that occurs; empty to begin with."""
+
+    def __init__(self, cells=()):
+        super().__init__(cells=[list(c) for c in cells])
+
+    def observe(self, df: DataFrame, label: str, prediction: str) -> "ClassificationState":
+        return self.merge(ClassificationState([(r.label, r.prediction, r.n) for r in confusion(df, label, prediction).collect()]))
+
+    def merge(self, other: "ClassificationState") -> "ClassificationState":
+        total: dict = {}
+        for y, p, n in (*self.cells, *other.cells):
+            total[y, p] = total.get((y, p), 0) + n
+        return ClassificationState([(y, p, n) for (y, p), n in total.items()])
+
+    def result(self) -> dict[str, float]:
+        """accuracy, and macro precision, recall and f1 over the labels seen on either side; 0/0 is 0."""
+        n = sum(c for _, _, c in self.cells)
+        if not n:
+            raise EmptyInput("nothing was observed")
+        ratio = lambda a, b: a / b if b else 0.0
+        names = {x for y, p, _ in self.cells for x in (y, p)}
+        parts = []
+        for name in names:
+            hit, support, predicted = (sum(c for y, p, c in self.cells if test(y, p)) for test in (lambda y, p: y == p == name, lambda y, p: y == name, lambda y, p: p == name))
+            parts.append((ratio(hit, predicted), ratio(hit, support), ratio(2 * hit, support + predicted)))
+        macro = [sum(x) / len(parts) for x in zip(*parts)]
+        return {"accuracy": sum(c for y, p, c in self.cells if y == p) / n, **dict(zip(("precision", "recall", "f1"), macro))}
+
+
+class RegressionState(Model):
+    """Count, mean and squared deviations of the labels, and sums of errors; rows with a null are left out."""
+
+    def __init__(self, n=0, mean=0.0, spread=0.0, squared=0.0, absolute=0.0):
+        super().__init__(n=n, mean=mean, spread=spread, squared=squared, absolute=absolute)
+
+    def observe(self, df: DataFrame, label: str, prediction: str) -> "RegressionState":
+        y, e = F.col(label).cast("double"), F.col(prediction).cast("double") - F.col(label)
+        r = df.where(e.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("v"), F.sum(e * e).alias("s"), F.sum(F.abs(e)).alias("a")).first()
+        return self.merge(RegressionState(r.n, r["mean"], r.v * r.n, r.s, r.a)) if r.n else self
+
+    def merge(self, other: "RegressionState") -> "RegressionState":
+        n = self.n + other.n
+        if not n:
+            return RegressionState()
+        apart = other.mean - self.mean
+        return RegressionState(n, self.mean + apart * other.n / n, self.spread + other.spread + apart * apart * self.n * other.n / n, self.squared + other.squared, self.absolute + other.absolute)
+
+    def result(self) -> dict[str, float]:
+        """mse, rmse, mae, r2 (of labels that do not differ: 1 without errors, else 0)."""
+        if not self.n:
+            raise EmptyInput("nothing was observed")
+        mse = self.squared / self.n
+        r2 = 1 - self.squared / self.spread if self.spread else float(self.squared == 0)
+        return {"mse": mse, "rmse": math.sqrt(mse), "mae": self.absolute / self.n, "r2": r2}
+
+
 # --- scorers ---
 
 SCORERS = {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomstat.base import Model, Params, check_features, check_guard, finite_guard
 from loomstat.errors import InvalidParameter, UnknownLabel, UnsupportedOperation
+from loomstat.functions.sparse import of_cells, sparse
 
 
 def _scaled(names: list[str], suffix: str) -> list[str]:
@@ -160,9 +161,11 @@ def label_table(df: DataFrame, column: str, row_id: str) -> list:
 
 
 class OneHotEncoder(Params):
-    """A column of 0 and 1 for each category, in the order of first occurrence by row_id; null is all zeros."""
+    """A column of 0 and 1 for each category, in the order of first occurrence by row_id; null is all zeros.
 
-    defaults = {"features": (), "row_id": None, "handle_unknown": "reject"}
+    sparse_output names one column of sparse rows instead."""
+
+    defaults = {"features": (), "row_id": None, "handle_unknown": "reject", "sparse_output": None}
 
     def check(self) -> None:
         if self.handle_unknown not in ("reject", "ignore"):
@@ -172,7 +175,7 @@ class OneHotEncoder(Params):
 
     def fit(self, df: DataFrame) -> "OneHotEncoderModel":
         check_features(df, list(self.features), numeric=False)
-        return OneHotEncoderModel(features=list(self.features), handle_unknown=self.handle_unknown, categories=[label_table(df, n, self.row_id) for n in self.features])
+        return OneHotEncoderModel(features=list(self.features), handle_unknown=self.handle_unknown, sparse_output=self.sparse_output, categories=[label_table(df, n, self.row_id) for n in self.features])
 
 
 class OneHotEncoderModel(Model):
@@ -184,7 +187,17 @@ class OneHotEncoderModel(Model):
     def names(self) -> list[str]:
         return [f"{n}_{i}" for n, c in zip(self.features, self.categories) for i in range(len(c))]
 
+    def _sparse(self) -> Column:
+        cells, at = [], 0
+        for n, known in zip(self.features, self.categories):
+            place = F.array_position(F.array(*map(F.lit, known)), F.col(n)) if known else F.lit(0)
+            cells.append(F.struct((place - 1 + at).cast("int").alias("i"), F.lit(1.0).alias("v"), (F.coalesce(place, F.lit(0)) > 0).alias("there")))
+            at += len(known)
+        return of_cells(at, F.filter(F.array(*cells), lambda c: c.there))
+
     def columns(self) -> dict[str, Column]:
+        if self.sparse_output:
+            return {self.sparse_output: self._sparse()}
         values = [(n, v) for n, c in zip(self.features, self.categories) for v in c]
         return {to: F.coalesce((F.col(n) == F.lit(v)).cast("double"), F.lit(0.0)) for to, (n, v) in zip(self.names(), values)}
 
@@ -198,9 +211,11 @@ class OneHotEncoderModel(Model):
 
 
 class PolynomialFeatures(Params):
-    """Products of features up to a degree: by degree, then in lexicographic order of feature positions."""
+    """Products of features up to a degree: by degree, then in lexicographic order of feature positions.
 
-    defaults = {"features": (), "degree": 2, "interaction_only": False, "include_bias": True, "prefix": "poly_"}
+    sparse_output names one column of sparse rows instead of a column for each product."""
+
+    defaults = {"features": (), "degree": 2, "interaction_only": False, "include_bias": True, "prefix": "poly_", "sparse_output": None}
 
     def check(self) -> None:
         if self.degree < 0:
@@ -222,7 +237,7 @@ class PolynomialFeatures(Params):
             for i in term:
                 c = c * F.col(self.features[i]).cast("double")
             out[f"{self.prefix}{k}"] = c
-        return out
+        return {self.sparse_output: sparse(F.array(*out.values()))} if self.sparse_output else out
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns(self.columns())

@@ -4,9 +4,12 @@ Floating results are rounded on both sides, as sums in another order differ in t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstat.functions import sparse as S
 from loomstat.functions import vectors as V
 from loomstat.operators import cluster, decomposition, ensemble, impute, linear, metrics, model_selection, neighbors, outlier, preprocessing, svm, tree
 from loomstat.plans.pipeline import FeatureUnion, Graph, Pipeline
@@ -84,6 +87,32 @@ def label_table(spark, d):
     return spark.createDataFrame([(i, v) for i, v in enumerate(found)], "idx long, label string")
 
 
+@query("""WITH c AS (SELECT o_orderpriority p, row_number() OVER (ORDER BY min(o_orderkey), o_orderpriority) - 1 i FROM orders GROUP BY 1)
+SELECT o_orderkey, 5 AS size, i::INT AS first_index, 1.0::DOUBLE AS total FROM orders JOIN c ON p = o_orderpriority""")
+def one_hot_encoder_sparse(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    rows = preprocessing.OneHotEncoder(features=["o_orderpriority"], row_id="o_orderkey", sparse_output="x").fit(df).transform(df)
+    return rows.select("o_orderkey", "x.size", F.get("x.indices", F.lit(0)).alias("first_index"), F.aggregate("x.values", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: CASE WHEN abs(v) >= 0.1::DOUBLE THEN v ELSE 0.0::DOUBLE END) x FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, a.x, b.x y FROM e a JOIN e b ON a.vec_id % 20 = 0)
+SELECT query_id, vec_id, round(list_inner_product(x, y), 5) + 0.0 AS dot, round(list_distance(x, y), 5) AS euclidean, round(list_sum(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i]))), 5) AS manhattan, round(list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i]))), 5) AS chebyshev FROM p""")
+def sparse_distances(spark, d):
+    """Vectors without their components under 0.1, as sparse rows; queries are the ids divisible by 20."""
+    cut = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(F.abs(v) >= 0.1, v).otherwise(0.0))
+    e = table(spark, d, "embeddings").select("vec_id", S.sparse(cut).alias("x"))
+    p = neighbors.query_pairs(e.where("vec_id % 20 = 0"), e, "vec_id", "x")
+    return rounded(p.select("query_id", "vec_id", S.dot("x", "y").alias("dot"), *[S.distance(m, "x", "y").alias(m) for m in ("euclidean", "manhattan", "chebyshev")]), 5)
+
+
+@query("SELECT l_suppkey AS \"row\", p_size AS \"column\", round(sum(l_quantity * p_retailprice), 2) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def sparse_product(spark, d):
+    """Suppliers x parts (quantities) times parts x sizes (prices)."""
+    a = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("column"), F.col("l_quantity").alias("value"))
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("row"), F.col("p_size").alias("column"), F.col("p_retailprice").alias("value"))
+    return rounded(S.product(a, b), 2)
+
+
 # --- imputation: every seventh balance is taken away ---
 
 
@@ -240,6 +269,10 @@ def _e4(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i - 1].cast("double").alias(f"e{i}") for i in range(1, 5)])
 
 
+def _every(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+
+
 _FOUR = ["e1", "e2", "e3", "e4"]
 _NEAR = f"WITH e AS (SELECT vec_id, label, {_E4} FROM embeddings), n AS (SELECT q.vec_id AS query_id, t.vec_id AS neighbor_id, t.label, {_D4} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D4}, t.vec_id) AS rank FROM e q, e t)"
 
@@ -268,25 +301,26 @@ def knn_regressor(spark, d):
     return rounded(neighbors.KNeighborsRegressor(features=_FOUR, label="label", row_id="vec_id").fit(e).transform(e.drop("label")).select("vec_id", "prediction"))
 
 
-def _neighbours_in_id(spark, d):
+def _stated_pairs(spark, d):
+    """Vectors whose id is divisible by 20, each with every vector."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    return neighbors.query_pairs(e.where("vec_id % 20 = 0"), e, "vec_id", "x")
 
 
-_NEXT = "WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] x, b.embedding::DOUBLE[] y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+_STATED = "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, a.embedding::DOUBLE[] x, b.embedding::DOUBLE[] y FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0)"
 
 
-@query(_NEXT + """ SELECT vec_id, round(list_distance(x, y), 5) AS euclidean, round(list_distance(x, y) ^ 2, 5) AS squared_euclidean, round(1 - list_cosine_similarity(x, y), 5) AS cosine,
+@query(_STATED + """ SELECT query_id, vec_id, round(list_distance(x, y), 5) AS euclidean, round(list_distance(x, y) ^ 2, 5) AS squared_euclidean, round(1 - list_cosine_similarity(x, y), 5) + 0.0 AS cosine,
 round(list_sum(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i]))), 5) AS manhattan, round(list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i]))), 5) AS chebyshev FROM p""")
 def pairwise_distances(spark, d):
-    p = _neighbours_in_id(spark, d)
-    return rounded(p.select("vec_id", *[V.distance(m, "x", "y").alias(m) for m in ("euclidean", "squared_euclidean", "cosine", "manhattan", "chebyshev")]), 5)
+    p = _stated_pairs(spark, d)
+    return rounded(p.select("query_id", "vec_id", *[V.distance(m, "x", "y").alias(m) for m in ("euclidean", "squared_euclidean", "cosine", "manhattan", "chebyshev")]), 5)
 
 
-@query(_NEXT + """ SELECT vec_id, round(list_inner_product(x, y), 5) + 0.0 AS linear, round((0.5 * list_inner_product(x, y) + 1) ^ 3, 5) + 0.0 AS polynomial, round(exp(-0.5 * list_distance(x, y) ^ 2), 5) AS rbf, round(tanh(0.5 * list_inner_product(x, y) + 1), 5) + 0.0 AS sigmoid FROM p""")
+@query(_STATED + """ SELECT query_id, vec_id, round(list_inner_product(x, y), 5) + 0.0 AS linear, round((0.5 * list_inner_product(x, y) + 1) ^ 3, 5) + 0.0 AS polynomial, round(exp(-0.5 * list_distance(x, y) ^ 2), 5) AS rbf, round(tanh(0.5 * list_inner_product(x, y) + 1), 5) + 0.0 AS sigmoid FROM p""")
 def kernels(spark, d):
-    p = _neighbours_in_id(spark, d)
-    return rounded(p.select("vec_id", *[V.kernel(k, "x", "y", gamma=0.5, coef0=1.0).alias(k) for k in ("linear", "polynomial", "rbf", "sigmoid")]), 5)
+    p = _stated_pairs(spark, d)
+    return rounded(p.select("query_id", "vec_id", *[V.kernel(k, "x", "y", gamma=0.5, coef0=1.0).alias(k) for k in ("linear", "polynomial", "rbf", "sigmoid")]), 5)
 
 
 @query("WITH c AS (SELECT unnest([l_quantity, l_extendedprice]) x FROM lineitem) SELECT round(1 / (2 * var_pop(x)), 15) AS gamma FROM c")
@@ -304,10 +338,12 @@ def gram_matrix(spark, d):
 # --- trees and ensembles ---
 
 
-@query("""WITH v AS (SELECT p_size v, count(*) n, sum(p_retailprice) y FROM part GROUP BY 1),
+_STUMP = """WITH v AS (SELECT p_size v, count(*) n, sum(p_retailprice) y FROM part GROUP BY 1),
 c AS (SELECT v, sum(n) OVER (ORDER BY v) ln, sum(y) OVER (ORDER BY v) ly, sum(n) OVER () tn, sum(y) OVER () ty, lead(v) OVER (ORDER BY v) nx FROM v),
-b AS (SELECT v + (nx - v) / 2.0 AS cut, ly / ln AS l, (ty - ly) / (tn - ln) AS r FROM c WHERE nx IS NOT NULL ORDER BY round(ly * ly / ln + (ty - ly) * (ty - ly) / (tn - ln) - ty * ty / tn, 6) DESC, v LIMIT 1)
-SELECT p_partkey, round(CASE WHEN p_size <= cut THEN l ELSE r END, 6) AS prediction FROM part, b""")
+b AS (SELECT v + (nx - v) / 2.0 AS cut, ly / ln AS l, (ty - ly) / (tn - ln) AS r FROM c WHERE nx IS NOT NULL ORDER BY round(ly * ly / ln + (ty - ly) * (ty - ly) / (tn - ln) - ty * ty / tn, 6) DESC, v LIMIT 1)"""
+
+
+@query(_STUMP + " SELECT p_partkey, round(CASE WHEN p_size <= cut THEN l ELSE r END, 6) AS prediction FROM part, b")
 def decision_tree_regressor(spark, d):
     df = table(spark, d, "part")
     return rounded(tree.DecisionTreeRegressor(features=["p_size"], label="p_retailprice", max_depth=1).fit(df).transform(df).select("p_partkey", "prediction"))
@@ -319,6 +355,31 @@ def decision_tree_classifier(spark, d):
     return tree.DecisionTreeClassifier(features=["a", "b"], label="y", max_depth=4).fit(df).transform(df).select("c_custkey", "y", "prediction")
 
 
+@query(_STUMP + " SELECT p_partkey, round(CASE WHEN p_size <= cut THEN l ELSE r END, 6) AS prediction FROM part, b")
+def random_forest_whole(spark, d):
+    """Without bootstraps and with all features each tree is the same."""
+    df = table(spark, d, "part")
+    f = ensemble.RandomForestRegressor(features=["p_size"], label="p_retailprice", row_id="p_partkey", trees=2, max_depth=1, max_features="all", bootstrap=False, max_bins=None)
+    return rounded(f.fit(df).transform(df).select("p_partkey", "prediction"))
+
+
+@query(_STUMP + " SELECT p_partkey, round(m + 0.1 * (CASE WHEN p_size <= cut THEN l ELSE r END - m), 6) AS prediction FROM part, b, (SELECT avg(p_retailprice) m FROM part)")
+def gradient_boosting_stage(spark, d):
+    df = table(spark, d, "part")
+    return rounded(ensemble.GradientBoosting(features=["p_size"], label="p_retailprice", row_id="p_partkey", stages=1, max_depth=1).fit(df).transform(df).select("p_partkey", "prediction"))
+
+
+@query("""WITH t AS (SELECT c_custkey, c_acctbal / 10000 AS a, (c_acctbal / 10000 + c_nationkey / 25.0::DOUBLE > 0.9::DOUBLE)::INT AS y FROM customer),
+v AS (SELECT a v, count(*) n, sum(y) y FROM t GROUP BY 1),
+c AS (SELECT v, sum(n) OVER w ln, sum(y) OVER w ly, sum(n) OVER () tn, sum(y) OVER () ty, lead(v) OVER (ORDER BY v) nx FROM v WINDOW w AS (ORDER BY v)),
+b AS (SELECT v + (nx - v) / 2 AS cut, 2 * ly > ln AS l, 2 * (ty - ly) > tn - ln AS r FROM c WHERE nx IS NOT NULL
+ORDER BY round((ly * ly + (ln - ly) * (ln - ly)) / ln + ((ty - ly) * (ty - ly) + (tn - ln - ty + ly) * (tn - ln - ty + ly)) / (tn - ln), 9) DESC, v LIMIT 1)
+SELECT c_custkey, y, (CASE WHEN a <= cut THEN l ELSE r END)::INT AS prediction FROM t, b""")
+def decision_stump_classifier(spark, d):
+    df = _classified(spark, d)
+    return tree.DecisionTreeClassifier(features=["a"], label="y", max_depth=1).fit(df).transform(df).select("c_custkey", "y", "prediction")
+
+
 @query()
 def random_forest(spark, d):
     df = _classified(spark, d)
@@ -338,6 +399,13 @@ def gradient_boosting(spark, d):
     return ensemble.GradientBoosting(features=["a", "b"], label="y", row_id="c_custkey", loss="log_loss", stages=3).fit(df).transform(df).select("c_custkey", "y", "prediction")
 
 
+@query()
+def gradient_boosting_stopped(spark, d):
+    df = _classified(spark, d)
+    m = ensemble.GradientBoosting(features=["a", "b"], label="y", row_id="c_custkey", loss="log_loss", stages=8, rate=0.5, max_depth=1, patience=2, tol=0.02, probability="probability").fit(df)
+    return m.transform(df).select("c_custkey", "y", "prediction", "probability")
+
+
 @query()
 def hist_gradient_boosting(spark, d):
     df = _classified(spark, d)
@@ -363,14 +431,14 @@ def kmeans_round(spark, d):
 
 @query()
 def kmeans(spark, d):
-    df = _e4(spark, d)
-    return cluster.KMeans(features=_FOUR, k=4, row_id="vec_id", max_iter=10).fit(df).transform(df).select("vec_id", "cluster")
+    df = _every(spark, d)
+    return cluster.KMeans(features=df.columns[1:], k=4, row_id="vec_id", max_iter=10).fit(df).transform(df).select("vec_id", "cluster")
 
 
 @query()
 def minibatch_kmeans(spark, d):
-    df = _e4(spark, d)
-    return cluster.MiniBatchKMeans(features=_FOUR, k=4, row_id="vec_id", batch_size=256, n_init=1).fit(df).transform(df).select("vec_id", "cluster")
+    df = _every(spark, d)
+    return cluster.MiniBatchKMeans(features=df.columns[1:], k=4, row_id="vec_id", batch_size=256, n_init=1).fit(df).transform(df).select("vec_id", "cluster")
 
 
 @query("""WITH n AS (SELECT c_custkey, c_acctbal v, count(*) OVER (ORDER BY c_acctbal RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) k FROM customer),
@@ -568,9 +636,46 @@ def grid_search(spark, d):
     return spark.createDataFrame([(float(r["params"]["alpha"]), r["mean"], i == s.best_index_) for i, r in enumerate(s.results_)], "alpha double, mean double, best boolean")
 
 
+@query("WITH e AS (SELECT l_extendedprice y, l_quantity * 1500 - l_extendedprice e FROM lineitem) SELECT round(sqrt(avg(e * e)), 5) AS rmse, round(avg(abs(e)), 5) AS mae, round(1 - sum(e * e) / (var_pop(y) * count(*)), 8) AS r2 FROM e")
+def metric_state_regression(spark, d):
+    """States of the parts of a table, merged."""
+    df, state = table(spark, d, "lineitem").withColumn("p", F.col("l_quantity") * 1500), metrics.RegressionState()
+    for k in range(2):
+        state = state.merge(metrics.RegressionState().observe(df.where(F.col("l_linenumber") % 2 == k), "l_extendedprice", "p"))
+    r = state.result()
+    return spark.createDataFrame([(round(r["rmse"], 5), round(r["mae"], 5), round(r["r2"], 8))], "rmse double, mae double, r2 double")
+
+
+@query(_LP + """, k AS (SELECT DISTINCT y FROM t UNION SELECT DISTINCT p FROM t),
+c AS (SELECT k.y, count(*) FILTER (t.y = k.y) s, count(*) FILTER (t.p = k.y) q, count(*) FILTER (t.y = k.y AND t.p = k.y) h FROM t, k GROUP BY 1)
+SELECT round((SELECT avg((y = p)::INT) FROM t), 6) AS accuracy, round(avg(CASE WHEN q > 0 THEN h / q ELSE 0 END), 6) AS precision, round(avg(CASE WHEN s > 0 THEN h / s ELSE 0 END), 6) AS recall, round(avg(CASE WHEN s + q > 0 THEN 2 * h / (s + q) ELSE 0 END), 6) AS f1 FROM c""")
+def metric_state_classification(spark, d):
+    p = F.when(F.col("l_quantity") < 13, "A").when(F.col("l_quantity") < 38, "N").otherwise("R")
+    df, state = table(spark, d, "lineitem").select("l_linenumber", F.col("l_returnflag").alias("y"), p.alias("p")), metrics.ClassificationState()
+    for k in range(2):
+        state = state.observe(df.where(F.col("l_linenumber") % 2 == k), "y", "p")
+    return spark.createDataFrame([tuple(round(state.result()[n], 6) for n in ("accuracy", "precision", "recall", "f1"))], "accuracy double, precision double, recall double, f1 double")
+
+
 # --- plans, sources, streams ---
 
 
+def _round_trip(format):
+    def run(spark, d):
+        """The table written in that format to the shared folder and read back."""
+        df = table(spark, d, "customer")
+        path = f"{cluster.shared_folder(spark)}/customer-{uuid.uuid4().hex}"
+        df.write.format("json" if format == "ndjson" else format).options(**({"header": True, "sep": "|"} if format == "csv" else {})).save(path)
+        return readers.read(spark, path, format, None if format == "parquet" else df.schema, delimiter="|")
+
+    return run
+
+
+for _format in ("parquet", "csv", "ndjson"):
+    QUERIES[f"read_{_format}"] = _round_trip(_format)
+    ORACLE_SQL[f"read_{_format}"] = "SELECT * FROM customer"
+
+
 @query("""WITH s AS (SELECT *, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () z FROM customer) SELECT c_custkey, round((z - min(z) OVER ()) / (max(z) OVER () - min(z) OVER ()), 6) AS z FROM s""")
 def pipeline_of_scalers(spark, d):
     df = table(spark, d, "customer").select("c_custkey", "c_acctbal")

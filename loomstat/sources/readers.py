@@ -43,12 +43,17 @@ def _open(data: bytes, format: str):
     return pa.ipc.open_file(data) if format == "arrow_file" else pa.ipc.open_stream(data)
 
 
+def _first(spark: SparkSession, files: DataFrame) -> bytes:
+    """The content of the file with the smallest path; the others' are not read for it."""
+    path = files.agg(F.min("path")).first()[0]
+    if path is None:
+        raise EmptyInput("no file")
+    return spark.read.format("binaryFile").load(path).first().content
+
+
 def _arrow(spark: SparkSession, files: DataFrame, format: str) -> DataFrame:
     """Each file is decoded where it is read, batch by batch; the schema is that of the first file."""
-    first = files.orderBy("path").first()
-    if first is None:
-        raise EmptyInput("no file")
-    schema = _open(first.content, format).schema
+    schema = _open(_first(spark, files), format).schema
 
     def run(batches):
         for b in batches:
@@ -79,10 +84,7 @@ def _array(spark: SparkSession, files: DataFrame, format: str, descriptor: dict
             raise UnsupportedColumnType(f"{m.dtype.str}; C order of f4, f8 or i8")
         return m.reshape(len(m), -1)
 
-    first = files.orderBy("path").first()
-    if first is None:
-        raise EmptyInput("no file")
-    head = matrix(first.content)
+    head = matrix(_first(spark, files))
     kind = "bigint" if head.dtype.kind == "i" else "double"
     width = head.shape[1]
 

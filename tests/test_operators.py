@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstat import base, errors
+from loomstat.functions import sparse
 from loomstat.functions import vectors as V
 from loomstat.operators import cluster, decomposition, ensemble, impute, linear, metrics, model_selection, neighbors, outlier, preprocessing, svm, tree
 from loomstat.plans.pipeline import Graph, Pipeline
@@ -112,6 +113,56 @@ def test_boosting_lowers_loss(spark):
     assert metrics.regression(m.transform(df), "y", "prediction").first()["r2"] > 0.8
 
 
+def test_boosting_stops_early_and_gives_probabilities(spark):
+    df = table(spark, [(i, i / 50, int(i % 100 < 50)) for i in range(300)], "id long, x double, y int")
+    m = ensemble.GradientBoosting(features=["x"], label="y", row_id="id", loss="log_loss", stages=12, rate=1.0, max_depth=2, patience=1, validation=0.3, tol=10.0, probability="share").fit(df)
+    assert len(m.chains[0]["trees"]) == 2  # the first stage is better than nothing, the second is not by 10
+    for r in m.transform(df).collect():
+        assert abs(sum(r.share) - 1) < 1e-9 and r.prediction == int(r.share[1] > 0.5)
+    with pytest.raises(errors.InvalidParameter):
+        ensemble.GradientBoosting(features=["x"], patience=2)
+    with pytest.raises(errors.InvalidParameter):
+        ensemble.GradientBoosting(features=["x"], probability="p")
+
+
+def test_sparse_rows(spark):
+    x = np.array([[0, 1, 0, 2], [3, 0, -1, 0], [0, 0, 0, 0], [1, 1, 1, 1], [-2, 0, 4, 0.5]])
+    df = table(spark, [(i, row.tolist()) for i, row in enumerate(x)] + [(9, None)], "id int, x array<double>").select("id", sparse.sparse("x").alias("s"))
+    assert {r.id: r.d for r in df.select("id", sparse.dense("s").alias("d")).collect()} == {**{i: row.tolist() for i, row in enumerate(x)}, 9: None}
+    far = {"euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum()), "manhattan": lambda a, b: np.abs(a - b).sum(), "chebyshev": lambda a, b: np.abs(a - b).max(), "cosine": lambda a, b: 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) if a.any() and b.any() else 1.0}
+    pairs = df.where("id < 9").withColumnsRenamed({"id": "i", "s": "a"}).join(df.where("id < 9").withColumnsRenamed({"id": "j", "s": "b"}), F.lit(True))
+    for r in pairs.select("i", "j", sparse.dot("a", "b").alias("dot"), *[sparse.distance(m, "a", "b").alias(m) for m in far]).collect():
+        assert abs(r.dot - x[r.i] @ x[r.j]) < 1e-12 and all(abs(r[m] - f(x[r.i], x[r.j])) < 1e-12 for m, f in far.items())
+    t = sparse.triplets(df, "id", "s")
+    got = np.zeros((5, 5))
+    for r in sparse.product(t, t.selectExpr("column as row", "row as column", "value")).collect():
+        got[r.row, r.column] = r.value
+    assert np.allclose(got, x @ x.T)
+    with pytest.raises(errors.InvalidParameter):
+        sparse.distance("hamming", "a", "b")
+
+
+def test_sparse_outputs_equal_dense_ones(spark):
+    df = table(spark, [(0, "u", 1.0), (1, "v", 0.0), (2, None, 2.0), (3, "u", -1.0)], "id long, c string, x double")
+    dense = preprocessing.OneHotEncoder(features=["c"], row_id="id").fit(df)
+    thin = preprocessing.OneHotEncoder(features=["c"], row_id="id", sparse_output="s").fit(df)
+    both = thin.transform(dense.transform(df)).withColumn("d", sparse.dense("s")).collect()
+    assert all(list(r.d) == [r.c_0, r.c_1] for r in both)
+    poly = preprocessing.PolynomialFeatures(features=["x"], sparse_output="s").transform(df).orderBy("id").select(sparse.dense("s")).collect()
+    assert [list(r[0]) for r in poly] == [[1, 1, 1], [1, 0, 0], [1, 2, 4], [1, -1, 1]]
+
+
+def test_metric_states(spark):
+    df = table(spark, [(1.0, 1.5), (2.0, 2.0), (4.0, 3.0), (None, 1.0)], "y double, p double")
+    parts = [metrics.RegressionState().observe(df.where(w), "y", "p") for w in ("y < 3", "y >= 3", "y is null")]
+    merged, whole = parts[0].merge(parts[1]).merge(parts[2]).result(), metrics.regression(df.where("y is not null"), "y", "p").first()
+    assert all(abs(merged[k] - whole[k]) < 1e-12 for k in ("mse", "rmse", "mae", "r2"))
+    with pytest.raises(errors.EmptyInput):
+        metrics.RegressionState().result()
+    with pytest.raises(errors.EmptyInput):
+        metrics.ClassificationState().result()
+
+
 def test_kmeans_planted(spark):
     rows = [(r, *[g * 1000 + ((7 * r + 13 * f) % 17) * 0.05 for f in range(3)], g) for r in range(60) for g in [r % 3]]
     df = table(spark, rows, "id long, a double, b double, c double, g int")
