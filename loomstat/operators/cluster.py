@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.base import Model, Params, check_features, check_guard, finite_guard
 from loomstat.errors import EmptyInput, InvalidParameter
+from loomstat.operators.linear import batch_sums
 from loomstat.operators.neighbors import k_nearest, radius_neighbors
 
 
@@ -23,8 +25,32 @@ def _squared(features: list[str], centre: list[float]) -> Column:
 
 def nearest_centre(features: list[str], centres) -> tuple[Column, Column]:
     """Index of the nearest centre (ties: smaller) and its squared distance."""
-    d = F.array(*[_squared(features, c) for c in centres])
-    return F.array_position(d, F.array_min(d)).cast("int") - 1, F.array_min(d)
+    best = F.array_min(F.array(*[F.struct(_squared(features, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))
+    return best["i"], best["d"]
+
+
+#: Features x centres above which sums go through Arrow batches: as columns, each round would compile as many expressions anew.
+WIDE = 64
+
+
+def centre_sums(df: DataFrame, features: list[str], centres) -> dict[int, tuple[int, float, list[float]]]:
+    """Rows, sum of squared distances and sums of the features for each centre that is nearest to some row."""
+    k, p = len(centres), len(features)
+    if k * p <= WIDE:
+        at, d = nearest_centre(features, centres)
+        rows = df.select(*features, at.alias("_c"), d.alias("_d")).groupBy("_c").agg(F.count("*").alias("n"), F.sum("_d").alias("inertia"), *[F.sum(F.col(n).cast("double")).alias(f"s{i}") for i, n in enumerate(features)]).collect()
+        return {r["_c"]: (r["n"], r["inertia"], [r[f"s{i}"] for i in range(p)]) for r in rows}
+    c = np.array(centres, float)
+
+    def kernel(x):
+        d = np.stack([((x - one) ** 2).sum(1) for one in c], 1)
+        at = d.argmin(1)
+        out = np.zeros((k, p + 2))
+        np.add.at(out, at, np.column_stack([np.ones(len(x)), d.min(1), x]))
+        return out.ravel()
+
+    found = batch_sums(df, [F.col(n).cast("double") for n in features], kernel, k * (p + 2)).reshape(k, p + 2)
+    return {i: (int(r[0]), float(r[1]), r[2:].tolist()) for i, r in enumerate(found) if r[0]}
 
 
 class KMeans(Params):
@@ -59,18 +85,18 @@ class KMeans(Params):
 
     def _round(self, df: DataFrame, centres: list[list[float]]) -> tuple[list[list[float]], float]:
         names = list(self.features)
-        at, d = nearest_centre(names, centres)
-        rows = df.select(*names, at.alias("_c"), d.alias("_d")).groupBy("_c").agg(F.count("*").alias("n"), F.sum("_d").alias("inertia"), *[F.avg(F.col(n).cast("double")).alias(f"m{i}") for i, n in enumerate(names)]).collect()
+        found = centre_sums(df, names, centres)
         new = [list(c) for c in centres]
-        for r in rows:
-            new[r["_c"]] = [r[f"m{i}"] for i in range(len(names))]
-        empty = [c for c in range(len(centres)) if c not in {r["_c"] for r in rows}]
+        for c, (n, _, total) in found.items():
+            new[c] = [x / n for x in total]
+        empty = [c for c in range(len(centres)) if c not in found]
         if empty:  # the farthest rows of clusters with more than one member
-            many = [r["_c"] for r in rows if r["n"] > 1]
+            at, d = nearest_centre(names, centres)
+            many = [c for c, (n, _, _) in found.items() if n > 1]
             far = df.select(*names, at.alias("_c"), d.alias("_d")).where(F.col("_c").isin(many)).orderBy(F.desc("_d"), *names).limit(len(empty)).collect() if many else []
             for c, r in zip(empty, far):
                 new[c] = self._values(r)
-        return new, sum(r["inertia"] for r in rows)
+        return new, sum(inertia for _, inertia, _ in found.values())
 
     def _run(self, df: DataFrame, centres) -> tuple[list[list[float]], float, int]:
         for i in range(self.max_iter):
@@ -112,19 +138,18 @@ class MiniBatchKMeans(KMeans):
 
     def update(self, model: KMeansModel, batch: DataFrame) -> KMeansModel:
         names = list(self.features)
-        at, d = nearest_centre(names, model.centres)
-        rows = batch.select(*names, at.alias("_c"), d.alias("_d")).groupBy("_c").agg(F.count("*").alias("n"), F.sum("_d").alias("inertia"), *[F.sum(F.col(n).cast("double")).alias(f"s{i}") for i, n in enumerate(names)]).collect()
+        found = centre_sums(batch, names, model.centres)
         centres, counts = [list(c) for c in model.centres], list(model.counts)
-        for r in rows:
-            c = r["_c"]
-            total = counts[c] + r["n"]
-            centres[c] = [(x * counts[c] + r[f"s{i}"]) / total for i, x in enumerate(centres[c])]
+        for c, (n, _, sums) in found.items():
+            total = counts[c] + n
+            centres[c] = [(x * counts[c] + s) / total for x, s in zip(centres[c], sums)]
             counts[c] = total
         few = [c for c, n in enumerate(counts) if n < self.reassign * max(counts)]
-        if few and rows:
+        if few and found:
+            _, d = nearest_centre(names, model.centres)
             for c, r in zip(few, batch.select(*names, d.alias("_d")).orderBy(F.desc("_d"), *names).limit(len(few)).collect()):
                 centres[c], counts[c] = self._values(r), 1.0
-        return KMeansModel(features=names, centres=centres, inertia=sum(r["inertia"] for r in rows), rounds=model.rounds + 1, cluster=self.cluster, counts=counts)
+        return KMeansModel(features=names, centres=centres, inertia=sum(inertia for _, inertia, _ in found.values()), rounds=model.rounds + 1, cluster=self.cluster, counts=counts)
 
     def fit(self, df: DataFrame) -> KMeansModel:
         names = list(self.features)

@@ -141,7 +141,7 @@ def class_weights(df: DataFrame, label: str, policy="balanced") -> dict:
     return {c: n / (len(counts) * k) for c, k in counts.items()}
 
 
-def _sums(df: DataFrame, columns: list[Column], kernel, size: int) -> np.ndarray:
+def batch_sums(df: DataFrame, columns: list[Column], kernel, size: int) -> np.ndarray:
     """Sum over all rows of kernel(matrix of the columns), a vector of `size`: partial sums in Arrow batches, then one sum a place."""
     def partial(batches):
         total = np.zeros(size)
@@ -201,7 +201,7 @@ class LogisticRegression(Params):
                     pr *= cw[:, None]
                     return np.r_[loss, (x.T @ pr).ravel(), pr.sum(0) if fit_b else np.zeros(k)]
 
-                s = _sums(kept, columns, kernel, 1 + p * k + k) / n_w
+                s = batch_sums(kept, columns, kernel, 1 + p * k + k) / n_w
                 return s[0] + l2 / 2 * (w**2).sum(), np.vstack([s[1 : 1 + p * k].reshape(p, k) + l2 * w, s[1 + p * k :]])
 
             theta = np.zeros((p + 1, k))

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 from loomstat.base import Model, Params, check_features, check_guard, finite_guard
 from loomstat.errors import EmptyInput, InvalidParameter, NotConverged, UnsupportedOperation
 from loomstat.functions.vectors import gamma_scale
-from loomstat.operators.linear import _linear, _sums, class_weights
+from loomstat.operators.linear import _linear, batch_sums, class_weights
 
 
 class LinearSVC(Params):
@@ -62,7 +62,7 @@ class LinearSVC(Params):
             return run
 
         def at(w):
-            s = _sums(df, columns, kernel(w), p + 2)
+            s = batch_sums(df, columns, kernel(w), p + 2)
             return 0.5 * w[:p] @ w[:p] + self.c * s[0], np.r_[w[:p], 0] + self.c * s[1:]
 
         w, ahead, t, step = np.zeros(p + 1), np.zeros(p + 1), 1.0, 1e-2
@@ -290,7 +290,7 @@ class _KernelSVM(Params):
                     value, g, hess = value + loss.sum(), g + z.T @ (sign * s), hess + bent.T @ bent / h
                 return np.r_[value, g, hess[upper]]
 
-            got = c * _sums(df, columns, run, 1 + (r + 1) + len(upper[0]))
+            got = c * batch_sums(df, columns, run, 1 + (r + 1) + len(upper[0]))
             hess = np.zeros((r + 1, r + 1))
             hess[upper] = got[r + 2 :]
             hess = np.triu(hess) + np.triu(hess, 1).T + np.diag(np.r_[np.ones(r), 1e-8 * c * n])
@@ -303,7 +303,7 @@ class _KernelSVM(Params):
                 return np.array([sum(rounded(u, h)[1].sum() for u, _ in terms(f + t * d, y)) for t in steps])
 
             places = v + np.outer(steps, move)
-            return c * _sums(df, columns, run, len(steps)) + (places[:, :r] ** 2).sum(1) / 2
+            return c * batch_sums(df, columns, run, len(steps)) + (places[:, :r] ** 2).sum(1) / 2
 
         v, h, left = np.zeros(r + 1), max(wide, self.tol), self.max_iter
         while True:
@@ -385,7 +385,7 @@ class SVC(_KernelSVM):
                     scores[own] = kernel(rows[own, :p], vectors) @ weights + bias
                 return platt_sums(scores, rows[:, p], a, b, high, low)
 
-            return _sums(df, [*self._columns(), y, fold.cast("double")], run, 6)
+            return batch_sums(df, [*self._columns(), y, fold.cast("double")], run, 6)
 
         return platt(at, pos, neg)
 
