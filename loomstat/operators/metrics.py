@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomstat.base import Model
 from loomstat.errors import EmptyInput, InvalidParameter
+from loomstat.functions import vectors as V
+from loomstat.functions.blocks import Tile
 
 EPSILON = 2.220446049250313e-16
 
@@ -174,22 +181,71 @@ def davies_bouldin(df: DataFrame, features: list[str], cluster: str) -> DataFram
     return pairs.groupBy("a.c").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette_samples(df: DataFrame, features: list[str], cluster: str, row_id: str, blocks: int = 8) -> DataFrame:
+#: Rows of a block whose silhouettes are summed, rows that they meet at most, and cells of such a block.
+SILHOUETTE_ROWS, SILHOUETTE_OTHERS, SILHOUETTE_CELLS = 4096, 65_536, 1 << 22
+
+
+def silhouette_samples(df: DataFrame, features: list[str], cluster: str, row_id: str, blocks: int = 1) -> DataFrame:
     """row_id, cluster, silhouette by Euclidean distance; noise is left out, a row alone in its cluster has 0.
 
-    Every row meets every other; both sides are dealt into blocks, and only sums per row and
-    cluster leave a task."""
+    Every row meets every other; both sides are dealt into blocks by their number (at least `blocks`), and only sums per row
+    and cluster leave a task. Rows with a null feature have 0 and count for no other row."""
+    p = len(features)
     x = df.where(F.col(cluster) >= 0).select(F.col(row_id).alias("id"), F.col(cluster).alias("c"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
-    a = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = x.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("v").alias("w")).withColumn("block", F.pmod(F.xxhash64("id2"), F.lit(blocks)).cast("int"))
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda p, q: p + q))
-    sums = a.join(b, "block").where("id <> id2").groupBy("id", "c", "c2").agg(F.sum(distance).alias("s"), F.count("*").alias("n"))
-    mean = F.col("s") / F.col("n")
-    t = sums.groupBy("id", "c").agg(F.max(F.when(F.col("c") == F.col("c2"), mean)).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), mean)).alias("b"))
+    whole = x.where(" and ".join(f"v[{i}] is not null" for i in range(p)))
+    n = whole.count()
+    blocks, parts = max(1, blocks, -(-n // max(1, min(SILHOUETTE_OTHERS, SILHOUETTE_CELLS // p)))), max(1, -(-n // SILHOUETTE_ROWS))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = lambda k: F.pmod(F.xxhash64("id", "v"), F.lit(k)).cast("int")
+    met = whole.select("*", F.lit(True).alias("_a"), own(parts).alias("_p"), every(blocks).alias("_b")).unionByName(whole.select("*", F.lit(False).alias("_a"), every(parts).alias("_p"), own(blocks).alias("_b")))
+    kinds = x.schema
+    schema = StructType([StructField("id", kinds["id"].dataType), StructField("c", kinds["c"].dataType), StructField("c2", kinds["c"].dataType), StructField("s", DoubleType()), StructField("n", LongType())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        asked, others = (table.filter(m).combine_chunks() for m in (table.column("_a"), pc.invert(table.column("_a"))))
+        if not asked.num_rows or not others.num_rows:
+            return
+        matrix = lambda t: pa.concat_arrays(t.column("v").chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        coded = pa.concat_arrays(others.column("c").chunks).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        q, y, codes = matrix(asked), matrix(others)[order], codes[order]
+        sizes = np.bincount(codes, minlength=len(coded.dictionary))
+        ids, own_c = pa.concat_arrays(asked.column("id").chunks), pa.concat_arrays(asked.column("c").chunks)
+        strips = [(at, codes[at : at + 2048]) for at in range(0, len(y), 2048)]
+        strips = [(np.ascontiguousarray(y[at : at + 2048].T), starts := np.r_[0, np.flatnonzero(np.diff(k)) + 1], k[starts]) for at, k in strips]
+        for i in range(0, len(q), 16):
+            a = q[i : i + 16]
+            out = np.zeros((len(a), len(sizes)))
+            for w, starts, k in strips:
+                out[:, k] += np.add.reduceat(euclidean(a, w), starts, axis=1)
+            row, of = np.repeat(np.arange(i, i + len(a)), len(sizes)), np.tile(np.arange(len(sizes)), len(a))
+            columns = [ids.take(pa.array(row)), own_c.take(pa.array(row)), coded.dictionary.take(pa.array(of)), pa.array(out.ravel()), pa.array(sizes[of])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    # rows of one id do not meet; usually that is the row itself
+    same = whole.alias("a").join(whole.alias("b"), F.col("a.id") == F.col("b.id")).select("a.id", "a.c", F.col("b.c").alias("c2"), (-V.euclidean("a.v", "b.v")).alias("s"), F.lit(-1).cast("long").alias("n"))
+    found = met.repartition(blocks * parts, "_p", "_b").groupBy("_p", "_b").applyInArrow(sums, schema).unionByName(same)
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    t = found.groupBy("id", "c", "c2").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("id", "c").agg(F.max(F.when(F.col("c") == F.col("c2"), mean)).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), mean)).alias("b"))
+    t = t.unionByName(x.where(" or ".join(f"v[{i}] is null" for i in range(p))).select("id", "c", F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")))
     top = F.greatest("a", "b")
     return t.select(F.col("id").alias(row_id), F.col("c").alias("cluster"), F.when(F.col("a").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("silhouette"))
 
 
+def euclidean(a: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Distances of the rows of a and the columns of across: few features by their differences, many by inner products."""
+    if len(across) > 16:
+        return np.sqrt(Tile(a, across.T).squared)
+    out, d = np.zeros((len(a), across.shape[1])), np.empty((len(a), across.shape[1]))
+    for k, row in enumerate(across):
+        np.subtract(a[:, k, None], row, out=d)
+        d *= d
+        out += d
+    return np.sqrt(out, out=out)
+
+
 def silhouette(df: DataFrame, features: list[str], cluster: str, row_id: str) -> DataFrame:
     return silhouette_samples(df, features, cluster, row_id).agg(F.avg("silhouette").alias("silhouette"))
 
